@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import textscan as ts
 from .components import components
-from .store import only_ids, saved, without_ids
+from .store import only_ids, plan_bytes, saved, without_ids
 
 SHINGLE = 5
 #: Jaccard of NUM / DEN or more.
@@ -321,7 +321,7 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, n_shingles, component_id) for each row of docs, and the verified links (u, v) between class representatives."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("t"))
-    size = int(str(docs.select(id_col, text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = plan_bytes(docs.select(id_col, text_col))
     bits = min(max(6, (size // RANGE_BYTES).bit_length()), 14)
     answers = saved(rows.mapInArrow(_send(bits), _SENT).groupBy("bucket").applyInPandas(_answer(bits), "block string, kind string, data binary"), "ranges")
     told = saved(answers.where("kind in ('table', 'shared')").groupBy("block").applyInPandas(_survive, "id bigint, n bigint, alive boolean"), "sizes")

@@ -47,3 +47,20 @@ def only_ids(df: DataFrame, ids: DataFrame, column: str, count: int | None = Non
 
 def without_ids(df: DataFrame, ids: DataFrame, column: str, count: int | None = None) -> DataFrame:
     return _ids(df, ids, column, "left_anti", count)
+
+
+def file_system(uri: str):
+    """(pyarrow file system, path in it) of a shared folder or file; works on the driver and on executors."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
+def spread(spark: SparkSession, rows: list[tuple], schema: str, tasks: int) -> DataFrame:
+    """A small table, one task for about each row; `tasks` bounds their number."""
+    return spark.createDataFrame(rows, schema).repartition(max(1, min(tasks, len(rows))))
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a table: its files' bytes for a scan."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
