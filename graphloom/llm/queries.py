@@ -4,19 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, packing, quality_rules, token_files
+from . import classifier, decontaminate, jaccard_join, packing, pii, quality_rules, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_table(spark, sf_dir, "documents"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_shards(spark, *token_files.write_shards(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
@@ -37,5 +49,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_files, op7_decontaminate, op8_packing, op9_ngram_jaccard, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_classifier, op4_token_files, op7_decontaminate, op8_packing, op9_ngram_jaccard, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

@@ -66,7 +66,7 @@ class ShardWriter:
 
     def __init__(self, uri: str, dictionary: bytes, width: int):
         fs, path = file_system(uri)
-        self.out = fs.open_output_stream(path)
+        self.out = fs.open_output_stream(path, compression=None)
         self.out.write(_HEAD.pack(MAGIC, width, hashlib.sha256(dictionary).digest()))
         self.at = _HEAD.size
         self.ids: list[int | None] = []
