@@ -8,8 +8,8 @@ labels of a document agree; a token that the patterns miss but that repeats a fo
 number or address in another notation gets its label.  Base matches are evidence and
 always stay.
 
-Weights are learnt by pseudo-likelihood from base labels on TRAIN_DOCS documents at
-most: those with the smallest id hash among the documents that have candidates.
+Weights are learnt by pseudo-likelihood from base labels on about TRAIN_DOCS documents:
+those with the smallest id hashes, of which only lines with candidates are gathered.
 
 Defined results: null and empty texts have no spans; repeated rows are judged one by
 one; a null id keeps its row; an empty table gives an empty result and needs no model.
@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import sample_by_hash
+
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
-TRAIN_DOCS = 2000
+TRAIN_DOCS = 20_000
 THRESHOLD = 0.9
 CHAIN_GAP = 40
 ROUNDS, DAMPING = 30, 0.3
@@ -195,11 +197,11 @@ def fit(graphs: list[Graph], steps: int = 2000, rate: float = 1.0, decay: float
             side[b, y[a]] += 1
         rows.append(np.concatenate([g.x, np.minimum(near, 1), np.minimum(far, 1)], 1))
         ys.append(y)
-    # Two pseudo-nodes for each label, alike but for the skip link, state that the same number keeps its label.
+    # Eight pseudo-nodes for each label, with nothing but a skip link, state that the same number keeps its label.
     for k in range(n):
         far = np.eye(n)[k]
-        rows.append(np.concatenate([np.zeros(FEATURES), np.zeros(n), far])[None].repeat(2, 0))
-        ys.append(np.array([k, k]))
+        rows.append(np.concatenate([np.zeros(FEATURES), np.zeros(n), far])[None].repeat(8, 0))
+        ys.append(np.full(8, k))
     x, y = np.concatenate(rows), np.concatenate(ys)
     w = np.zeros((n, x.shape[1]))
     goal = np.eye(n)[y]
@@ -231,14 +233,14 @@ def find(text: str | None, model: Model | None) -> tuple[list[Span], list[Span]]
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_docs: int = TRAIN_DOCS) -> Model | None:
     """A model from a bounded, repeatable sample of documents with candidates; None without any."""
-    hinted = docs.select(F.xxhash64(F.col(id_col)).alias("k"), F.col(text_col).cast("string").alias("t")).where(F.col("t").rlike("[0-9]{4}|@"))
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_lines(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["k", "t"])
+            texts = [_lines(t.as_py()) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"])
 
-    rows = hinted.mapInArrow(shapes, "k bigint, t string").orderBy("k", "t").limit(n_docs).collect()
+    hinted = sample_by_hash(docs, id_col, n_docs).select(F.col(text_col).cast("string").alias("t")).where(F.col("t").rlike("[0-9]{4}|@"))
+    rows = sorted(hinted.mapInArrow(shapes, "t string").collect())
     graphs = []
     for r in rows:
         base = base_spans(r["t"])

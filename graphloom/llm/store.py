@@ -49,6 +49,18 @@ def without_ids(df: DataFrame, ids: DataFrame, column: str, count: int | None =
     return _ids(df, ids, column, "left_anti", count)
 
 
+def sample_by_hash(df: DataFrame, id_col: str, n: int) -> DataFrame:
+    """About n rows of df, the same ones each time: those whose id hash is below a threshold; all rows if n is not less.
+
+    No task returns more than its share, so the sample costs the same at every size.
+    The last limit only matters where most rows repeat one id.
+    """
+    total = df.count()
+    if total <= n:
+        return df
+    return df.where(F.xxhash64(F.col(id_col)) < int(n / total * 2**64) - 2**63).limit(4 * n)
+
+
 def file_system(uri: str):
     """(pyarrow file system, path in it) of a shared folder or file; works on the driver and on executors."""
     from pyarrow import fs
