@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontaminate, jaccard_join, packing, pii, quality_rules, token_files, warc
+from . import classifier, decontaminate, html_text, jaccard_join, packing, pii, quality_rules, substring_dedup, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,14 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_shards(spark, *token_files.write_shards(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.mark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -49,5 +57,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_classifier, op4_token_files, op7_decontaminate, op8_packing, op9_ngram_jaccard, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_classifier, op4_token_files, op5_substring_dedup, op6_html_text, op7_decontaminate, op8_packing, op9_ngram_jaccard, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
