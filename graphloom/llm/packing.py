@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoder
+from .tokens import TOGETHER, encoder
 
 CAPACITY = 4096
 END_ID = 2
@@ -121,9 +122,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         id_type = pa.null()
         for batch in batches:
             id_type = batch.column(0).type
-            for i in range(batch.num_rows):
-                ids = encoder(tokenizer).encode(batch.column(1)[i].as_py()) + end
-                held[serial] = batch.column(0)[i].as_py(), ids
+            texts = (encoder(tokenizer).encode_many(batch.column(1).slice(i, TOGETHER).to_pylist()) for i in range(0, batch.num_rows, TOGETHER))
+            for name, ids in zip(batch.column(0), chain.from_iterable(texts), strict=True):
+                ids += end
+                held[serial] = name.as_py(), ids
                 pieces.append((serial, 0, len(ids) // 4))
                 serial, tokens = serial + 1, tokens + len(ids) // 4
                 if tokens >= WINDOW_TOKENS:

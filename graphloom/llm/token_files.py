@@ -31,24 +31,25 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import file_system, plan_bytes, saved, shared_dir, spread
-from .tokens import encoder
+from .store import file_system, plan_bytes, sample_by_hash, saved, shared_dir, spread
+from .tokens import TOGETHER, encoder
 
 MAGIC = b"TOKIDS01"
 _HEAD, _TAIL = struct.Struct("<8sB32s"), struct.Struct("<QQ8s")
 END_ID = 0
-#: Documents that the dictionary is trained on (those with the smallest id hash), its bytes, and input bytes for a shard.
+#: Documents that the dictionary is trained on (those with the smallest id hashes), its bytes, and input bytes for a shard.
 TRAIN_DOCS, DICT_BYTES, SHARD_BYTES, MIN_SHARDS = 1000, 64 << 10, 16 << 20, 16
 
 
-def ids_of(text: str | None, tokenizer: str, end_id: int = END_ID) -> np.ndarray:
-    return np.append(np.frombuffer(encoder(tokenizer).encode(text), "<u4"), np.uint32(end_id))
+def ids_of(texts: list[str | None], tokenizer: str, end_id: int = END_ID) -> list[np.ndarray]:
+    end = np.array([end_id], "<u4").tobytes()
+    return [np.frombuffer(x + end, "<u4") for x in encoder(tokenizer).encode_many(texts)]
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, n_docs: int = TRAIN_DOCS, size: int = DICT_BYTES, width: int = 2) -> bytes:
     """A dictionary from the ids of a bounded, repeatable sample of documents."""
-    rows = docs.select(F.col(text_col).cast("string").alias("t"), F.xxhash64(F.col(id_col)).alias("k")).where("t != ''").orderBy("k", "t").limit(n_docs).select("t").collect()
-    samples = [ids_of(r[0], tokenizer).astype(f"<u{width}").tobytes()[: 64 << 10] for r in rows]
+    rows = sorted(sample_by_hash(docs, id_col, n_docs).select(F.col(text_col).cast("string").alias("t")).where("t != ''").collect())
+    samples = [x.astype(f"<u{width}").tobytes() for x in ids_of([r[0] for r in rows], tokenizer)]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 20 else b""
     except zstandard.ZstdError:
@@ -148,9 +149,9 @@ def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(dictionary)[0]
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                names, rows = part.column(0).to_pylist(), [ids_of(t, tokenizer, end_id) for t in part.column(1).to_pylist()]
+            for first in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(first, TOGETHER)
+                names, rows = part.column(0).to_pylist(), ids_of(part.column(1).to_pylist(), tokenizer, end_id)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([0 if x is None else bisect_right(cuts, x) for x in names], pa.int32()), pa.array([len(r) for r in rows], pa.int64()), pa.array([codec.compress(r.astype(f"<u{width}").tobytes()) for r in rows], pa.binary())],
                     ["id", "shard", "n", "frame"],

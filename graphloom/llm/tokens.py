@@ -1,11 +1,11 @@
 """Encoding whole texts with a public tokenizer, one distinct chunk at a time.
 
-Both tokenizers split a text before merging, and never across the start of white
-space that follows something else.  So a text is the sequence of its chunks (white
-space, then non-space), and the ids of a text are the ids of its chunks in a row;
-words recur, so the library encodes each chunk once and a worker keeps the bytes of
-its ids.  New chunks of plain letters and signs are encoded in one call, as one text;
-the byte lengths of the ids tell where each chunk ends.  The cache has two
+Both tokenizers split a text before merging: always at the start of white space that
+follows something else, and always between a letter and an ASCII sign or digit after
+it.  So a text is the sequence of such chunks, and the ids of a text are the ids of its
+chunks in a row; words recur, so the library encodes each chunk once and a worker keeps
+the bytes of its ids.  New chunks that start with white space are encoded in one call,
+as one text; the byte lengths of the ids tell where each chunk ends.  The cache has two
 generations of at most GENERATION chunks: what is used moves to the younger one, the
 older one is dropped, so memory is bounded and frequent words stay.
 """
@@ -13,14 +13,18 @@ older one is dropped, so memory is bounded and frequent words stay.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
 
-GENERATION, GENERATION_BYTES = 300_000, 32 << 20
+GENERATION, GENERATION_BYTES = 400_000, 32 << 20
+#: Texts that callers encode together.
+TOGETHER = 128
 #: White space as Unicode's White_Space property has it; fixed values.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CHUNK = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_CHUNK = re.compile(rf"[{_SPACE}]*[{_LETTER}]+(?=[\x00-@\[-`{{-\x7f]|\Z)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 #: Chunks that can be encoded as part of a longer text: they start with white space and keep their byte length when lower-cased.
 _PLAIN = re.compile("[ \n]+[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
@@ -65,17 +69,18 @@ class Encoder:
                 at = end
         self.held += sum(len(self.young[c]) + 4 * len(c) for c in chunks)
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
         if len(self.young) > GENERATION or self.held > GENERATION_BYTES:
             self.old, self.young, self.held = self.young, {}, 0
-        chunks = _CHUNK.findall(text)
-        ids = list(map(self.young.get, chunks))
-        if None in ids:
-            self._learn({c for c, i in zip(chunks, ids, strict=True) if i is None})
-            ids = map(self.young.__getitem__, chunks)
-        return b"".join(ids)
+        split = [_CHUNK.findall(t) if t else [] for t in texts]
+        missing = set(chain.from_iterable(split)).difference(self.young)
+        if missing:
+            self._learn(missing)
+        known = self.young.__getitem__
+        return [b"".join(map(known, chunks)) for chunks in split]
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_many([text])[0]
 
 
 def encoder(path: str) -> Encoder:
