@@ -227,7 +227,9 @@ def _survive(rows: pd.DataFrame) -> pd.DataFrame:
         np.add.at(shared, who.astype(np.int64), n.astype(np.int64))
     ids, known, size, sampled = table
     alive = (size > 0) & (known > 0) & (shared >= sampled - (size - -(-NUM * size // DEN)))
-    return pd.DataFrame({"id": pd.array(ids, "Int64").astype("Int64").where(pd.Series(known > 0)) if not known.all() else ids, "n": size, "alive": alive})
+    names = pd.array(ids, "Int64")
+    names[known == 0] = pd.NA
+    return pd.DataFrame({"id": names, "n": size, "alive": alive})
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +323,7 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, n_shingles, component_id) for each row of docs, and the verified links (u, v) between class representatives."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("t"))
-    size = plan_bytes(docs.select(id_col, text_col))
+    size = plan_bytes(docs)
     bits = min(max(6, (size // RANGE_BYTES).bit_length()), 14)
     answers = saved(rows.mapInArrow(_send(bits), _SENT).groupBy("bucket").applyInPandas(_answer(bits), "block string, kind string, data binary"), "ranges")
     told = saved(answers.where("kind in ('table', 'shared')").groupBy("block").applyInPandas(_survive, "id bigint, n bigint, alive boolean"), "sizes")

@@ -183,7 +183,8 @@ def marginals(g: Graph, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray)
 def fit(graphs: list[Graph], steps: int = 2000, rate: float = 1.0, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(unary, chain, skip) weights that maximise the pseudo-likelihood of the base labels.
 
-    A base match has its kind, any other candidate is OTHER.  Each node is predicted from
+    A base match has its kind, any other candidate is OTHER, but one that is linked to a
+    base match is in doubt and teaches nothing.  Each node is predicted from
     its shape and the labels of its neighbours; potentials are made symmetric at the end.
     """
     n = OTHER + 1
@@ -195,13 +196,15 @@ def fit(graphs: list[Graph], steps: int = 2000, rate: float = 1.0, decay: float
             side = far if s else near
             side[a, y[b]] += 1
             side[b, y[a]] += 1
-        rows.append(np.concatenate([g.x, np.minimum(near, 1), np.minimum(far, 1)], 1))
-        ys.append(y)
-    # Eight pseudo-nodes for each label, with nothing but a skip link, state that the same number keeps its label.
+        sure = (g.label >= 0) | (far[:, :OTHER].sum(1) == 0)
+        rows.append(np.concatenate([g.x, np.minimum(near, 1), np.minimum(far, 1)], 1)[sure])
+        ys.append(y[sure])
+    # As many pseudo-nodes for each label as it has nodes, with nothing but a skip link, state that the same number keeps its label.
+    seen = np.bincount(np.concatenate(ys), minlength=n)
     for k in range(n):
-        far = np.eye(n)[k]
-        rows.append(np.concatenate([np.zeros(FEATURES), np.zeros(n), far])[None].repeat(8, 0))
-        ys.append(np.full(8, k))
+        times = max(8, int(seen[k]))
+        rows.append(np.concatenate([np.zeros(FEATURES), np.zeros(n), np.eye(n)[k]])[None].repeat(times, 0))
+        ys.append(np.full(times, k))
     x, y = np.concatenate(rows), np.concatenate(ys)
     w = np.zeros((n, x.shape[1]))
     goal = np.eye(n)[y]

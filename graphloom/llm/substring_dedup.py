@@ -50,8 +50,8 @@ from .store import file_system, plan_bytes, saved, shared_dir
 
 LENGTH, GRAM = 50, 24
 GRAMS = LENGTH - GRAM + 1
-SHARD_TEXT, RANGE_BYTES = 8 << 20, 2 << 20
-CHUNK = 1 << 20
+SHARD_TEXT, RANGE_BYTES = 3 << 20, 2 << 20
+CHUNK = 256 << 10
 #: Contexts of one anchor, or of the anchors sorted together, that are held in memory.
 MEMORY_ROWS = 200_000
 
@@ -453,7 +453,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     root = shared_dir(spark, "shards")
     fs, path = file_system(root)
     fs.create_dir(path, recursive=True)
-    bits = min(max(6, (plan_bytes(docs.select(id_col, text_col)) // RANGE_BYTES).bit_length()), 16)
+    bits = min(max(6, (plan_bytes(docs) // RANGE_BYTES).bit_length()), 16)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("t"))
     message = "bucket int, shard string, data binary"
     shared = saved(rows.mapInArrow(_write_shards(root, bits), message).groupBy("bucket").applyInPandas(_shared, "shard string, bucket int, data binary"), "anchors")

@@ -144,7 +144,7 @@ def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     fs, path = file_system(root)
     fs.create_dir(path, recursive=True)
     dictionary = train_dictionary(docs, tokenizer, id_col, text_col, width=width)
-    cuts = _cuts(docs, id_col, min(max(MIN_SHARDS, plan_bytes(docs.select(id_col, text_col)) // SHARD_BYTES), 100_000))
+    cuts = _cuts(docs, id_col, min(max(MIN_SHARDS, plan_bytes(docs) // SHARD_BYTES), 100_000))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(dictionary)[0]
