@@ -13,8 +13,9 @@
    one global order, frequent hashes last, so linked sets share a list.
 4. Lists are scanned star-wise: each member against the list's centre, exactly verified.
    Verified links make components; only lists that still hold several components are
-   scanned again, with other centres, and what then remains is compared member by
-   member across components.  Pairs inside a component are never formed.
+   scanned again, with other centres.  What may then still link across components is
+   settled between classes of equal cores (see `_cross_links`); pairs of documents are
+   never formed but with a centre.
 
 Defined results: null, empty and white-space texts have empty sets and are linked with
 nothing; fewer than SHINGLE words make one shingle; rows that repeat an id are one
@@ -49,8 +50,8 @@ BLOCK_ENTRIES, BLOCK_DOCS, RANGE_BYTES = 2_000_000, 60_000, 8 << 20
 #: A hash in so many documents is frequent; so many frequent ones at most are told to all (only the order depends on them).
 FREQUENT, MAX_FREQUENT = 48, 500_000
 #: Light sets have at most so many shingles, whatever the cost model says.
-MAX_LIGHT = 14
-STAR_ROUNDS = 4
+MAX_LIGHT = 10
+STAR_ROUNDS = 2
 
 _FOLDED = ts.byte_weights(True)
 
@@ -92,7 +93,7 @@ def subset_count(n: int) -> int:
 def light_limit(list_length: float) -> int:
     """The largest size for which enumerating subsets costs no more than scanning the lists of the prefix."""
     n = 0
-    while n < MAX_LIGHT and subset_count(n + 1) <= 16 * max(list_length, 2.0) * prefix_length(n + 1):
+    while n < MAX_LIGHT and subset_count(n + 1) <= 4 * max(list_length, 2.0) * prefix_length(n + 1):
         n += 1
     return n
 
@@ -285,37 +286,76 @@ def _compatible(a: str, b: str) -> F.Column:
     return (F.lit(DEN) * F.least(a, b) >= F.lit(NUM) * F.greatest(a, b))
 
 
+def _open_lists(keys: DataFrame, comp: DataFrame) -> DataFrame:
+    """The heavy lists that hold several components, with the component (c) of each member."""
+    held = keys.where("kind = 0").join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    mixed = held.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("key")
+    return saved(held.join(mixed, "key").select("key", "id", "n", "kind", "c"), "lists")
+
+
+def _stars(lists: DataFrame, turn: int) -> DataFrame:
+    """Pairs (u, v): each list's centre with its other members; light lists count only with a centre of the smaller size."""
+    order = F.struct("n", "id") if not turn else F.struct(F.xxhash64("id", F.lit(turn)).alias("n"), "id")
+    extra = [F.min_by("c", order).alias("cc")] if turn else []
+    stars = lists.groupBy("kind", "key").agg(F.min(order).alias("m"), F.min_by("n", order).alias("cn"), F.count("*").alias("k"), *extra).where("k > 1")
+    pairs = lists.join(stars, ["kind", "key"]).where("id != m.id and (kind = 0 or kind = cn)").where(_compatible("n", "cn"))
+    if turn:
+        pairs = pairs.where("c != cc")
+    return pairs.select(F.greatest("id", F.col("m.id")).alias("u"), F.least("id", F.col("m.id")).alias("v")).distinct()
+
+
+def _cross_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) that join all components which any links across them would join.
+
+    For sets in different components only hashes that occur in several components can be
+    common: the core of a set.  Sets with equal cores form a class, whatever else they
+    hold.  With o common core hashes, sets of a and b hashes are linked iff
+    NUM * (a + b) <= (NUM + DEN) * o, so in a class only size matters and its smallest set stands for
+    it: two classes are linked iff their smallest sets are, and a member is linked to
+    something iff it is linked to the smallest set of the partner that leaves most room
+    (its own class among the partners).  A hot passage with different words around it is
+    one class; pairs are formed of classes only.
+    """
+    who = saved(lists.select("id", "c").distinct(), "open")
+    tokens = only_ids(sets, who, "id").join(who, "id").select("id", "n", "c", F.explode("h").alias("t"))
+    marks = tokens.groupBy("t").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("df")).where("c1 != c2").select("t", "df")
+    core = tokens.join(marks, "t").groupBy("id", "n", "c").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("g"))
+    core = core.select("id", "n", "c", F.transform("g", lambda x: x["t"]).alias("g")).where(F.lit(DEN) * F.size("g") >= F.lit(NUM) * F.col("n"))
+    core = saved(core.select("*", F.xxhash64("g").alias("k1"), F.xxhash64(F.lit(1), "g").alias("k2"), F.size("g").alias("size")), "cores")
+    cls = core.groupBy("k1", "k2", "size").agg(F.min(F.struct("n", "id")).alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2"), F.min_by("g", F.struct("n", "id")).alias("g"))
+    cls = saved(cls.select("k1", "k2", "size", F.col("m.id").alias("id"), F.col("m.n").alias("n"), "c1", "c2", "g"), "classes")
+    need = F.ceil(F.lit(NUM) * F.col("n") / F.lit(DEN)).cast("int")
+    listed = cls.select("id", "n", "size", "c1", "c2", F.explode(F.slice("g", F.lit(1), F.col("size") - need + 1)).alias("t"))
+    a, b = (listed.select("t", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "size", "c1", "c2"))) for x in "ab")
+    room = F.lit(NUM + DEN) * F.least("size_a", "size_b") >= F.lit(NUM) * (F.col("n_a") + F.col("n_b"))
+    pairs = a.join(b, "t").where("id_a > id_b and not (c1_a = c2_a and c1_b = c2_b and c1_a = c1_b)").where(room).select("id_a", "n_a", "id_b", "n_b").distinct()
+    pairs = saved(pairs, "class-pairs")
+    ga, gb = (cls.select(F.col("id").alias(f"id_{x}"), F.col("g").alias(f"g_{x}")) for x in "ab")
+    both = pairs.join(gb, "id_b").join(ga, "id_a").select("id_a", "n_a", "id_b", "n_b", F.size(F.array_intersect("g_a", "g_b")).alias("o"))
+    linked = saved(both.where(F.lit(NUM + DEN) * F.col("o") >= F.lit(NUM) * (F.col("n_a") + F.col("n_b"))), "class-links")
+    left = lambda x, y: linked.select(F.col(f"id_{x}").alias("cls"), F.col(f"id_{y}").alias("to"), (F.lit(NUM + DEN) * F.col("o") - F.lit(NUM) * F.col(f"n_{y}")).alias("left"))
+    own = cls.select(F.col("id").alias("cls"), F.col("id").alias("to"), (F.lit(NUM + DEN) * F.col("size") - F.lit(NUM) * F.col("n")).alias("left"))
+    best = left("a", "b").union(left("b", "a")).union(own).groupBy("cls").agg(F.max_by("to", F.struct("left", "to")).alias("to"), F.max("left").alias("left"))
+    member = core.join(cls.select("k1", "k2", "size", F.col("id").alias("cls")), ["k1", "k2", "size"]).join(best, "cls").where(F.lit(NUM) * F.col("n") <= F.col("left")).where("id != to")
+    out = member.select(F.greatest("id", "to").alias("u"), F.least("id", "to").alias("v")).union(linked.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")))
+    return saved(out.distinct(), "links")
+
+
 def _links(keys: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(verified links, components) of all sets, by rounds of stars and a last comparison across components."""
-    links, done, comp = None, None, None
-    live = keys
-    for turn in range(STAR_ROUNDS + 1):
-        if turn:
-            held = live.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-            open_keys = held.groupBy("kind", "key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("kind", "key")
-            live = saved(held.join(open_keys, ["kind", "key"]).where("kind = 0").select("key", "id", "n", "kind", "c"), "lists")
-            if live.isEmpty():
-                break
-        if turn < STAR_ROUNDS:
-            order = F.struct("n", "id") if not turn else F.struct(F.xxhash64("id", F.lit(turn)).alias("n"), "id")
-            extra = [] if not turn else [F.min_by("c", order).alias("cc")]
-            stars = live.groupBy("kind", "key").agg(F.min(order).alias("m"), F.min_by("n", order).alias("cn"), F.count("*").alias("k"), *extra).where("k > 1")
-            pairs = live.drop("k").join(stars, ["kind", "key"]).where("id != m.id and (kind = 0 or kind = cn)").where(_compatible("n", "cn"))
-            if turn:
-                pairs = pairs.where("c != cc")
-            pairs = pairs.select(F.greatest("id", F.col("m.id")).alias("u"), F.least("id", F.col("m.id")).alias("v")).distinct()
-        else:
-            a, b = live.select("key", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("c").alias("cu")), live.select("key", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"))
-            pairs = a.join(b, "key").where("u > v and cu != cv").where(_compatible("nu", "nv")).select("u", "v").distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["u", "v"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        done = pairs if done is None else done.union(pairs)
+    """(links, components) of all sets: rounds of verified stars, then what may still link across components."""
+    links = comp = None
+    for turn in range(STAR_ROUNDS):
+        lists = keys if not turn else _open_lists(keys, comp)
+        pairs = saved(_stars(lists, turn), "pairs")
         new = saved(_verified(pairs, sets), "links")
         if turn and new.isEmpty():
-            continue
+            break
         links = new if links is None else links.union(new)
         comp = components(links)
+    lists = _open_lists(keys, comp)
+    if not lists.isEmpty():
+        links = links.union(_cross_links(lists, sets))
+        comp = components(links)
     return links, comp
 
 

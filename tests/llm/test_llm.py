@@ -185,6 +185,18 @@ def test_components_are_brute_force(spark, seed):
     assert sorted(map(tuple, found.collect())) == brute_components(rows)
 
 
+def test_cross_links_alone_find_all(spark, monkeypatch):
+    """Without light lists and stars, the classes of equal cores must find every component."""
+    monkeypatch.setattr(jaccard_join, "MAX_LIGHT", 0)
+    monkeypatch.setattr(jaccard_join, "_stars", lambda lists, turn: lists.select(jaccard_join.F.col("id").alias("u"), jaccard_join.F.col("id").alias("v")).limit(0))
+    rnd = random.Random(9)
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(i, " ".join([*passage, *(f"w{rnd.randrange(400)}" for _ in range(rnd.randint(0, 9)))])) for i in range(40)]
+    rows += [(100 + i, " ".join([*(f"h{k % 7}" for k in range(rnd.randint(5, 12))), *passage[: rnd.randint(0, 30)]])) for i in range(40)]
+    found = jaccard_join.join_documents(documents(spark, rows))[0]
+    assert sorted(map(tuple, found.collect())) == brute_components(rows)
+
+
 def test_join_of_odd_rows(spark):
     found = {r[0]: tuple(r) for r in jaccard_join.join_documents(documents(spark, [*ODD, (4, "word")]))[0].collect()}
     assert found[4][2] == 4 and found[5] == (5, 1, 4) and found[9][2] == 8 and found[1] == (1, 0, 1) and found[None][2] is None

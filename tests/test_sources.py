@@ -104,3 +104,97 @@ def test_discovery(spark, tmp_path):
     assert [(r.path, r.language) for r in files.supported_files(found).collect()] == [("a.py", "python"), ("docker-compose.yml", "yaml"), ("k.yaml", "yaml"), ("src/B.GD", "gdscript")]
     assert [(r.path, r.kind) for r in files.deployment_files(found).collect()] == [("deploy/Dockerfile", "dockerfile"), ("docker-compose.yml", "compose"), ("k.yaml", "kubernetes")]
     assert files.read_sources(spark, str(tmp_path), "*.py").count() == 2
+
+
+CI = """
+on: push
+env: {TOKEN: "${{ secrets.DEPLOY }}"}
+jobs:
+  test:
+    runs-on: ubuntu-latest
+    strategy: {matrix: {python: ["3.11", 3.12]}}
+    steps:
+      - uses: actions/checkout@v4
+      - name: Unit
+        run: pytest tests/unit src/app.py --flag
+        env: {A: "${{ env.B }}"}
+      - uses: actions/cache@v3
+        with: {path: "~/.cache\\nbuild", key: k}
+  build:
+    needs: test
+    steps:
+      - run: make build
+      - foo: bar
+"""
+
+K8S = """
+kind: Deployment
+metadata: {name: web}
+spec: {template: {metadata: {labels: {app: web, tier: "1"}}, spec: {containers: [{image: nginx}]}}}
+---
+kind: Service
+metadata: {name: web}
+spec: {selector: {app: web}}
+---
+kind: Ingress
+metadata: {name: in}
+spec: {rules: [{http: {paths: [{backend: {service: {name: web}}}, {backend: {service: {name: ghost}}}]}}]}
+"""
+
+
+def test_ci_tables(spark):
+    from graphloom.sources import yaml_facts
+
+    src = sources(spark, CI, "- a", "")
+    jobs = {r.job: r for r in yaml_facts.ci_jobs(src).where("error is null").collect()}
+    assert jobs["build"].needs == ["test"] and [tuple(m) for m in jobs["test"].matrix] == [("python", "str", "3.11"), ("python", "float", "3.12")]
+    steps = yaml_facts.ci_steps(src).where("error is null").orderBy("job", "pos").collect()
+    assert [(s.job, s.name) for s in steps] == [("build", "make build"), ("test", "actions/checkout@v4"), ("test", "Unit"), ("test", "actions/cache@v3")]
+    unit = steps[2]
+    assert unit.path_hints == ["tests/unit", "src/app.py"] and unit.env_refs == ["B"] and unit.env_names == ["A"]
+    assert (steps[3].resource_kind, steps[3].resource_key, steps[3].resource_paths) == ("cache", "k", ["~/.cache", "build"])
+    assert [r.module_id for r in yaml_facts.ci_jobs(src).where("error is not null").collect()] == ["1"]
+
+
+def test_deployment_tables(spark):
+    from graphloom.sources import yaml_facts
+
+    nodes, edges = yaml_facts.kubernetes(sources(spark, K8S))
+    assert {r.id for r in nodes.collect()} == {"k8s:deployment:web", "k8s:service:web", "k8s:ingress:in"}
+    assert {(r.source, r.target) for r in edges.collect()} == {("k8s:service:web", "k8s:deployment:web"), ("k8s:ingress:in", "k8s:service:web")}
+    compose = "services:\n  web: {image: app, depends_on: [db, gone], links: ['db:x'], ports: ['80:80']}\n  db: {image: 'postgres:16'}\n"
+    got = yaml_facts.compose(sources(spark, compose)).collect()
+    assert {(r.id, r.kind) for r in got if r.row == "node"} == {("service:web", "service"), ("service:db", "database")}
+    assert sorted((r.kind, r.target) for r in got if r.row == "edge") == [("depends_on", "service:db"), ("links", "service:db")]
+    docker = "FROM --platform=x python:3.12 AS base\n# FROM no\nfrom base\nRUN FROM\n"
+    assert [r.image for r in yaml_facts.dockerfile(sources(spark, docker)).orderBy("pos").collect()] == ["python:3.12", "base"]
+
+
+def test_wire_responses(spark):
+    import json
+
+    from graphloom.sources import wire
+
+    good = {"contract_version": "1", "request_id": "r", "ok": True, "ir": {"language": "csharp", "entities": [{"kind": "class", "name": "A", "line": 3, "visibility": "odd"}], "imports": ["x"]}}
+    bad = {**good, "ir": {"entities": [{"kind": "interface", "name": "B", "line": 1}]}}
+    failed = {"request_id": "r", "ok": False, "error": {"kind": "timeout", "retryable": True}}
+    raw = spark.createDataFrame([("a", "r", json.dumps(good)), ("b", "r", json.dumps(bad)), ("c", "r", json.dumps(failed)), ("d", "other", json.dumps(good)), ("e", "r", "no json")], "module_id string, request_id string, response string")
+    parsed = wire.responses(raw)
+    assert {r.module_id: r.failure for r in parsed.collect()} == {"a": None, "b": "protocol_error", "c": "timeout", "d": "protocol_error", "e": "protocol_error"}
+    e = wire.entities(parsed).first()
+    assert (e.name, e.end_line, e.visibility) == ("A", 3, "unspecified") and wire.imports(parsed).first().ref == "x"
+
+
+def test_comments(spark):
+    from graphloom.sources import comments
+
+    text = "class LoadData:\r\n    # has one\r\n    def run(self):\r\n        pass\r\n    def is_ready(self): pass\r\n    def __init__(self): pass\r\n"
+    src = sources(spark, text)
+    found = comments.candidates(src, "python")
+    assert [(r.line, r.name, r.comment) for r in found.orderBy("line").collect()] == [(1, "LoadData", "# Represents load data."), (5, "is_ready", "# Checks ready.")]
+    out = comments.insert(src, found).first().source
+    assert out.startswith("# Represents load data.\r\nclass LoadData:\r\n") and "    # Checks ready.\r\n    def is_ready" in out and out.endswith("pass\r\n")
+    again = comments.candidates(spark.createDataFrame([("0", out)], "module_id string, source string"), "python")
+    assert again.count() == 0
+    go = comments.candidates(sources(spark, "type T struct {\n\tName string\n}\nfunc (t T) Get() int {\nfunc main() {\n"), "go")
+    assert [(r.target, r.name) for r in go.orderBy("line").collect()] == [("class", "T"), ("field", "Name"), ("method", "Get"), ("function", "main")]
