@@ -58,4 +58,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_classifier, op4_token_files, op5_substring_dedup, op6_html_text, op7_decontaminate, op8_packing, op9_ngram_jaccard, op10_quality_rules)}
+#: SQL where it can express a whole operator in reasonable time; the others are held against brute force in tests.
 ORACLES: dict[str, str] = {}
+ORACLES["op2_warc"]="""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS hex, first_value(page_id) OVER (PARTITION BY h ORDER BY page_id) AS first FROM p),
+b AS (SELECT *, list_transform(range(1, 41), lambda i: instr('0123456789abcdef', substr(hex, i, 1)) - 1) AS q FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((((q[1 + (k * 5) // 4] * 16 + coalesce(q[2 + (k * 5) // 4], 0)) >> (3 - (k * 5) % 4)) % 32) AS INT), 1)), '') AS payload_digest,
+CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM b"""
+
+ORACLES["op7_decontaminate"]="""WITH dw AS (SELECT doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), '[^ ]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), '[^ ]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS g FROM iw, range(1, greatest(len(w) - 9, 1) + 1) r(i) WHERE len(w) > 0),
+lens AS (SELECT DISTINCT n FROM win),
+hit AS (SELECT doc_id, i, win.n, item_id FROM dw, lens, range(1, greatest(len(w) - lens.n + 2, 1)) r(i) JOIN win ON win.n = lens.n AND win.g = array_to_string(w[i : i + lens.n - 1], ' ')),
+cov AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM hit, range(i, i + n) s(k) GROUP BY 1), it AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY 1)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+ORACLES["op9_ngram_jaccard"]="""WITH RECURSIVE dw AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, md5_number(array_to_string(w[i : i + 4], ' ')) AS g FROM dw, range(1, greatest(len(w) - 4, 1) + 1) r(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), o AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)), e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c AS (SELECT a AS node, a AS r FROM e UNION SELECT e.b, c.r FROM c JOIN e ON e.a = c.node), m AS (SELECT node, min(r) AS r FROM c GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(r, doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m ON node = doc_id"""
