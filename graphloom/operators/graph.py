@@ -109,18 +109,43 @@ def _star_round(edges: DataFrame, keys: list[str]) -> DataFrame:
     return small.unionByName(low.select(*keys, "u", F.col("m").alias("v"))).distinct()
 
 
+def _united(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(node, component) by union-find in one grouped call for each graph; pairs (u, v) are few."""
+    kind = pairs.schema["u"].dataType.simpleString()
+    shape = ", ".join([*(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys), f"node {kind}, component {kind}"])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        top: dict = {}
+
+        def find(n):
+            while top.setdefault(n, n) != n:
+                top[n] = n = top[top[n]]
+            return n
+
+        for u, v in zip(rows["u"], rows["v"], strict=True):
+            a, b = find(u), find(v)
+            top[max(a, b)] = min(a, b)
+        return pd.DataFrame({**{k: rows[k].iloc[0] for k in keys}, "node": list(top), "component": [find(n) for n in list(top)]})
+
+    return pairs.withColumn("__all", F.lit(1)).groupBy(*keys, "__all").applyInPandas(run, shape)
+
+
 def weak_components(edges: DataFrame, nodes: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """(node, component): the smallest node that is connected, directions aside."""
+    """(node, component): the smallest node that is connected, directions aside.
+
+    Up to SMALL_EDGES distinct edges by union-find in a grouped call, beyond that by star contraction.
+    """
     keys = list(keys)
     pairs = edges.where("caller != callee").select(*keys, F.greatest("caller", "callee").alias("u"), F.least("caller", "callee").alias("v"))
     held, state = saved(pairs.distinct(), "weak"), None
-    while True:
+    small = held.count() <= SMALL_EDGES
+    while not small:
         held = saved(_star_round(held, keys), "weak")
         now = held.agg(F.count("*"), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             break
         state = now
-    linked = held.select(*keys, F.col("u").alias("node"), F.col("v").alias("component"))
+    linked = _united(held, keys) if small else held.select(*keys, F.col("u").alias("node"), F.col("v").alias("component"))
     return endpoints(edges, nodes, keys).join(linked, [*keys, "node"], "left").withColumn("component", F.coalesce("component", "node"))
 
 

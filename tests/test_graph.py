@@ -59,7 +59,9 @@ def test_strong_components_by_both_ways(spark, monkeypatch):
     assert len(rows(graph.cycle_edges(e, found))) == 6
 
 
-def test_weak_components_of_several_graphs(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_weak_components_of_several_graphs(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL_EDGES", small)
     e = spark.createDataFrame([(1, "b", "a"), (1, "b", "c"), (1, "x", "y"), (2, "x", "b")], "g int, caller string, callee string")
     assert rows(graph.weak_components(e, keys=["g"])) == [(1, "a", "a"), (1, "b", "a"), (1, "c", "a"), (1, "x", "x"), (1, "y", "x"), (2, "b", "b"), (2, "x", "b")]
 
