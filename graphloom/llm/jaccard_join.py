@@ -294,8 +294,13 @@ def _open_lists(keys: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _stars(lists: DataFrame, turn: int) -> DataFrame:
-    """Pairs (u, v): each list's centre with its other members; light lists count only with a centre of the smaller size."""
-    order = F.struct("n", "id") if not turn else F.struct(F.xxhash64("id", F.lit(turn)).alias("n"), "id")
+    """Pairs (u, v): each list's centre with its other members.
+
+    Light lists have their smallest set in the middle and count only if it has the smaller
+    size of the pair; heavy lists the smallest id, from which copies tend to derive, and
+    another member in later turns.
+    """
+    order = F.struct(F.when(F.col("kind") > 0, F.col("n")).otherwise(0).cast("long").alias("n"), "id") if not turn else F.struct(F.xxhash64("id", F.lit(turn)).alias("n"), "id")
     extra = [F.min_by("c", order).alias("cc")] if turn else []
     stars = lists.groupBy("kind", "key").agg(F.min(order).alias("m"), F.min_by("n", order).alias("cn"), F.count("*").alias("k"), *extra).where("k > 1")
     pairs = lists.join(stars, ["kind", "key"]).where("id != m.id and (kind = 0 or kind = cn)").where(_compatible("n", "cn"))
@@ -325,9 +330,10 @@ def _cross_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
     cls = core.groupBy("k1", "k2", "size").agg(F.min(F.struct("n", "id")).alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2"), F.min_by("g", F.struct("n", "id")).alias("g"))
     cls = saved(cls.select("k1", "k2", "size", F.col("m.id").alias("id"), F.col("m.n").alias("n"), "c1", "c2", "g"), "classes")
     need = F.ceil(F.lit(NUM) * F.col("n") / F.lit(DEN)).cast("int")
-    listed = cls.select("id", "n", "size", "c1", "c2", F.explode(F.slice("g", F.lit(1), F.col("size") - need + 1)).alias("t"))
+    listed = cls.select("id", "n", "size", "c1", "c2", F.posexplode(F.slice("g", F.lit(1), F.col("size") - need + 1)).alias("p", "t")).withColumn("size", F.col("size") - F.col("p"))
     a, b = (listed.select("t", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "size", "c1", "c2"))) for x in "ab")
-    room = F.lit(NUM + DEN) * F.least("size_a", "size_b") >= F.lit(NUM) * (F.col("n_a") + F.col("n_b"))
+    # At the first common hash of a pair only it and what follows can be common; the row of that hash is enough.
+    room = (F.lit(NUM + DEN) * F.least("size_a", "size_b") >= F.lit(NUM) * (F.col("n_a") + F.col("n_b"))) & _compatible("n_a", "n_b")
     pairs = a.join(b, "t").where("id_a > id_b and not (c1_a = c2_a and c1_b = c2_b and c1_a = c1_b)").where(room).select("id_a", "n_a", "id_b", "n_b").distinct()
     pairs = saved(pairs, "class-pairs")
     ga, gb = (cls.select(F.col("id").alias(f"id_{x}"), F.col("g").alias(f"g_{x}")) for x in "ab")
