@@ -92,7 +92,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     new = np.ones(len(starts), bool)
     new[1:] = (p[1:] != p[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
-    return starts[first], np.diff(first, append=len(starts)), p[first], hashes[p[first]]
+    # Smallest hashes crowd at the low end; mixed once more they fill all ranges alike.
+    return starts[first], np.diff(first, append=len(starts)), p[first], ts.mix(hashes[p[first]])
 
 
 class Shard:
