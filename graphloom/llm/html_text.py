@@ -2,8 +2,8 @@
 
 The scanner splits a page into tags, text and raw text.  The builder keeps the open
 elements, closes what a new tag implies (a list item ends the item before it, a block
-ends a paragraph, cells and rows end cells and rows) and ignores end tags that match
-nothing.  Rendering walks the tree once: hidden elements go, inline text has its white
+ends a paragraph, cells and rows end cells and rows), moves what may not stand between
+the rows and cells of a table before it, and ignores end tags that match nothing.  Rendering walks the tree once: hidden elements go, inline text has its white
 space collapsed, blocks start on a line of their own with a blank line around
 paragraphs and headings, list items get a bullet or number and an indent by depth,
 preformatted text is kept, and table cells are padded to the width of their column.
@@ -54,11 +54,18 @@ _IMPLIED = {
     "tfoot": (_words("tbody thead tfoot tr td th caption"), _words("table")),
     "body": (_words("head"), _words("html")),
 }
+#: A start tag of a table's structure goes into the nearest of these, whatever was opened since.
+_PLACE = {name: _words("table template") for name in ("caption", "col", "colgroup", "tbody", "thead", "tfoot")}
+_PLACE["tr"] = _PLACE["tbody"] | _words("tbody thead tfoot")
+_PLACE["td"] = _PLACE["th"] = _PLACE["tr"] | {"tr"}
+_ROWS = _words("table tbody thead tfoot tr")
+_CELLS = _words("td th caption template")
 _ENDS_P = BLOCK - _words("td th tr tbody thead tfoot caption body html option optgroup") | {"p"}
 _P_BARRIER = _words("td th table button caption")
 
 _TAG = re.compile(r"<(?:!--(?:.*?--!?>|.*)|([!?])[^>]*>?|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?)", re.S)
 _HIDE = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*|\S*)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_BLANK = " \t\n\r\f"
 _SPACES = re.compile(r"[ \t\n\r\f\v]+")
 _START = re.compile(r"start\s*=\s*[\"']?(-?[0-9]{1,9})")
 
@@ -84,6 +91,23 @@ def parse(page: str) -> Node:
                 del stack[i:]
                 return
 
+    def open_table() -> int:
+        """Where the table is between whose rows and cells the builder stands, or 0."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].name in _CELLS:
+                return 0
+            if stack[i].name == "table":
+                return i
+        return 0
+
+    def add(item: Node | str) -> None:
+        """Adds to the open element, or before the table where that takes only rows or cells; an open table is the last child."""
+        t = open_table() if stack[-1].name in _ROWS else 0
+        if t:
+            stack[t - 1].children.insert(-1, item)
+        else:
+            stack[-1].children.append(item)
+
     at, size = 0, len(page)
     while at < size:
         lt = page.find("<", at)
@@ -91,11 +115,13 @@ def parse(page: str) -> Node:
             lt = size
         found = _TAG.match(page, lt) if lt < size else None
         if lt > at:
-            stack[-1].children.append(html.unescape(page[at:lt]) if "&" in page[at:lt] else page[at:lt])
+            text = html.unescape(page[at:lt]) if "&" in page[at:lt] else page[at:lt]
+            if stack[-1].name not in _ROWS or text.strip(_BLANK):
+                add(text)
         if lt >= size:
             break
         if not found:
-            stack[-1].children.append("<")
+            add("<")
             at = lt + 1
             continue
         at = found.end()
@@ -104,13 +130,20 @@ def parse(page: str) -> Node:
         name = found[3].lower()
         if found[2]:
             if name == "br":
-                stack[-1].children.append(Node("br", False))
+                add(Node("br", False))
             else:
                 close(frozenset((name,)), TABLE_PARTS - {name} if name not in TABLE_PARTS else frozenset(("table",)) - {name})
             continue
         if name in _ENDS_P:
             close(frozenset("p"), _P_BARRIER)
-        if name in _IMPLIED:
+        placed = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name in _PLACE[name]), 0) if name in _PLACE else 0
+        if placed:
+            del stack[placed + 1 :]
+        elif name == "table" and (t := open_table()):
+            del stack[t:]
+        elif name == "form" and open_table():
+            continue  # a form between rows or cells holds nothing
+        elif name in _IMPLIED:
             names, barrier = _IMPLIED[name]
             while len(stack) > 1:
                 depth = len(stack)
@@ -120,8 +153,11 @@ def parse(page: str) -> Node:
         attrs = found[4]
         number = int(m[1]) if name == "ol" and (m := _START.search(attrs)) else 1
         node = Node(name, name in HIDDEN or bool(attrs) and bool(_HIDE.search(attrs)), number)
-        stack[-1].children.append(node)
-        if name in VOID:
+        if placed:
+            stack[-1].children.append(node)
+        else:
+            add(node)
+        if name in VOID or name == "colgroup":
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)

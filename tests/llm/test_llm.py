@@ -468,6 +468,33 @@ def test_html_keeps_every_visible_word_in_order(page):
     assert inside_table or html_text.text_of(page).count("word") == page.count("word")
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("a<table>b<tr>c<td>d</td><p>e</p></tr><center>f</center></table>g", "abc\n\ne\n\nf\n\nd\n\ng"),
+        ("<table><form><tr><td>a<td>b</tr></form><tr><form><td>c</form><td>d</table>", "a  b\nc  d"),
+        ("<table><colgroup><col><tr><td>a<tbody><div>b<tr><td>c</table>", "b\n\na\nc"),
+        ("<table><tr><td>a<table>b<tr><td>c</table>d</table>", "ab\n\nc\n\nd"),
+        ("<table><tr><table><tr><td>a</table>b", "a\n\nb"),
+    ],
+)
+def test_html_moves_stray_table_content_out(page, text):
+    assert html_text.text_of(page) == text
+
+
+_TABLE_TAGS = ["<table>", "</table>", "<caption>", "<colgroup>", "<col>", "<tbody>", "<tr>", "</tr>", "<td>", "</td>", "<form>", "</form>", "<center>", "<p>", "</p>", "<div>", "</div>", "<b>", "<li>", "<ul>", "</ul>", "<br>", "word ", " "]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(_TABLE_TAGS), max_size=25))
+def test_html_keeps_every_word_of_tables(parts):
+    page = "".join(f"w{i}. " if x == "word " else x for i, x in enumerate(parts))
+    found, want = re.findall("w[0-9]+[.]", html_text.text_of(page)), re.findall("w[0-9]+[.]", page)
+    assert sorted(found) == sorted(want)
+    if "<table>" not in parts:
+        assert found == want
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "<p>a", "x"), (2, None, None), (None, "b", "c")], "page_id bigint, html string, text string")
     assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == {1: "a", 2: None, None: "b"}
