@@ -58,6 +58,9 @@ _IMPLIED = {
 _PLACE = {name: _words("table template") for name in ("caption", "col", "colgroup", "tbody", "thead", "tfoot")}
 _PLACE["tr"] = _PLACE["tbody"] | _words("tbody thead tfoot")
 _PLACE["td"] = _PLACE["th"] = _PLACE["tr"] | {"tr"}
+#: What may stand in a head; anything else closes it.
+_HEAD = _words("base basefont bgsound link meta title noframes style script noscript template")
+_FOREIGN = _words("svg math")
 _ROWS = _words("table tbody thead tfoot tr")
 _CELLS = _words("td th caption template")
 _ENDS_P = BLOCK - _words("td th tr tbody thead tfoot caption body html option optgroup") | {"p"}
@@ -108,6 +111,10 @@ def parse(page: str) -> Node:
         else:
             stack[-1].children.append(item)
 
+    def end_head() -> None:
+        if stack[-1].name == "head":
+            stack.pop()
+
     at, size = 0, len(page)
     while at < size:
         lt = page.find("<", at)
@@ -116,11 +123,15 @@ def parse(page: str) -> Node:
         found = _TAG.match(page, lt) if lt < size else None
         if lt > at:
             text = html.unescape(page[at:lt]) if "&" in page[at:lt] else page[at:lt]
-            if stack[-1].name not in _ROWS or text.strip(_BLANK):
+            if text.strip(_BLANK):
+                end_head()
+                add(text)
+            elif stack[-1].name not in _ROWS:
                 add(text)
         if lt >= size:
             break
         if not found:
+            end_head()
             add("<")
             at = lt + 1
             continue
@@ -130,10 +141,13 @@ def parse(page: str) -> Node:
         name = found[3].lower()
         if found[2]:
             if name == "br":
+                end_head()
                 add(Node("br", False))
             else:
                 close(frozenset((name,)), TABLE_PARTS - {name} if name not in TABLE_PARTS else frozenset(("table",)) - {name})
             continue
+        if name not in _HEAD:
+            end_head()
         if name in _ENDS_P:
             close(frozenset("p"), _P_BARRIER)
         placed = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name in _PLACE[name]), 0) if name in _PLACE else 0
@@ -166,7 +180,7 @@ def parse(page: str) -> Node:
             at = page.find(">", stop) + 1 if end else size
             at = at or size
             continue
-        if attrs.endswith("/") and name not in BLOCK and name not in HIDDEN or len(stack) >= MAX_DEPTH:
+        if attrs.endswith("/") and name not in BLOCK and (name not in HIDDEN or name in _FOREIGN) or len(stack) >= MAX_DEPTH:
             continue
         stack.append(node)
     return root

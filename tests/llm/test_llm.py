@@ -495,6 +495,21 @@ def test_html_keeps_every_word_of_tables(parts):
         assert found == want
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<head><title>t</title><p>Hello", "Hello"),
+        ("<html><head><meta charset=utf-8>\n<script>x</script><noscript><p>no</p></noscript><h1>a</h1>b", "a\n\nb"),
+        ("<head><style>p{}</style> a <b>c</b>", "a c"),
+        ("<head>\n<title>t</title></head><body>a", "a"),
+        ("<head><svg/>a", "a"),
+        ("<div><svg width='1' /><math/>a</div>b", "a\nb"),
+    ],
+)
+def test_html_head_and_self_closing_elements_end(page, text):
+    assert html_text.text_of(page) == text
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "<p>a", "x"), (2, None, None), (None, "b", "c")], "page_id bigint, html string, text string")
     assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == {1: "a", 2: None, None: "b"}
