@@ -7,6 +7,9 @@ the rows and cells of a table before it, and ignores end tags that match nothing
 space collapsed, blocks start on a line of their own with a blank line around
 paragraphs and headings, list items get a bullet or number and an indent by depth,
 preformatted text is kept, and table cells are padded to the width of their column.
+Hidden is what the element's name, its `hidden` attribute or its style's `display` and
+`visibility` say, a closed dialog too; `aria-hidden` hides nothing on screen.  Text of
+buttons, all options, text areas, SVG and MathML is shown.
 
 Work is linear in the page: no recursion, no backtracking over the whole page, and end
 tags look for their element only as deep as the tree is (at most MAX_DEPTH, deeper
@@ -33,8 +36,11 @@ _words = lambda s: frozenset(s.split())
 #: Element classes; fixed values.
 VOID = _words("area base br col embed hr img input link meta param source track wbr")
 RAW = _words("script style textarea title xmp noembed noframes iframe")
-HIDDEN = _words("head script style template noscript noembed noframes iframe object embed svg math canvas audio video datalist title meta link select textarea button dialog")
-BLOCK = _words("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption")
+HIDDEN = _words("head script style template noscript noembed noframes iframe object embed canvas audio video datalist title meta link")
+#: Elements that are drawn nowhere inside SVG or MathML.
+_UNDRAWN = _words("desc metadata defs symbol clippath mask marker pattern annotation annotation-xml")
+_BOXES = _words("button select text mtd mtr")
+BLOCK = _words("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td textarea tfoot th thead tr ul caption")
 SPACED = _words("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr article section")
 LISTS = _words("ul ol menu dir")
 TABLE_PARTS = _words("table tbody thead tfoot tr td th caption")
@@ -63,24 +69,56 @@ _HEAD = _words("base basefont bgsound link meta title noframes style script nosc
 _FOREIGN = _words("svg math")
 _ROWS = _words("table tbody thead tfoot tr")
 _CELLS = _words("td th caption template")
-_ENDS_P = BLOCK - _words("td th tr tbody thead tfoot caption body html option optgroup") | {"p"}
+_ENDS_P = BLOCK - _words("td th tr tbody thead tfoot caption body html option optgroup textarea") | {"p"}
 _P_BARRIER = _words("td th table button caption")
 
 _TAG = re.compile(r"<(?:!--(?:.*?--!?>|.*)|([!?])[^>]*>?|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?)", re.S)
-_HIDE = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*|\S*)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_MAY_HIDE = re.compile("hidden|style|display|visibility", re.I)
+_ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
+#: Comments, strings and brackets of a style, in which a semicolon ends nothing; then its declarations of interest.
+_STYLE_QUOTED = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"]*\"?|'[^']*'?|\([^)]*\)?", re.S)
+_DISPLAY = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z][a-z -]*?)\s*(!\s*important\s*)?(?=;|$)", re.I)
 _BLANK = " \t\n\r\f"
 _SPACES = re.compile(r"[ \t\n\r\f\v]+")
 _START = re.compile(r"start\s*=\s*[\"']?(-?[0-9]{1,9})")
 
 
 class Node:
-    __slots__ = ("children", "hidden", "name", "number")
+    __slots__ = ("children", "hidden", "name", "number", "shown")
 
-    def __init__(self, name: str, hidden: bool, number: int = 1):
-        self.name, self.hidden, self.number = name, hidden, number
+    def __init__(self, name: str, hidden: bool, number: int = 1, shown: bool = True):
+        self.name, self.hidden, self.number, self.shown = name, hidden, number, shown
         self.children: list[Node | str] = []
 
 
+def attributes(attrs: str) -> dict[str, str]:
+    """Names (lower-case) and values of a start tag's attributes; of equal names the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return found
+
+
+def _visibility(name: str, attrs: str, shown: bool, stack: list[Node]) -> tuple[bool, bool]:
+    """(not displayed with all inside, own text visible) of an element whose parent's text is `shown` or not."""
+    hidden = name in HIDDEN
+    if hidden or name != "dialog" and not _MAY_HIDE.search(attrs):
+        return hidden, shown
+    values = attributes(attrs)
+    declared: dict[str, tuple[bool, str]] = {}
+    if ("display" in values or "visibility" in values) and any(x.name in _FOREIGN for x in stack):
+        declared = {what: (False, values.get(what, "").strip().lower()) for what in ("display", "visibility")}
+    for what, value, important in _DISPLAY.findall(_STYLE_QUOTED.sub(" ", values.get("style", ""))):
+        if important or not declared.get(what.lower(), (False,))[0]:
+            declared[what.lower()] = (bool(important), value.lower())
+    display, visible = declared.get("display", (False, ""))[1], declared.get("visibility", (False, ""))[1]
+    if display == "none" or not display and ("hidden" in values or name == "dialog" and "open" not in values):
+        return True, shown
+    if visible in ("hidden", "collapse"):
+        return False, False
+    return False, shown or visible in ("visible", "initial")
+
+
 def parse(page: str) -> Node:
     """The tree of a page."""
     root = Node("#root", False)
@@ -166,7 +204,11 @@ def parse(page: str) -> Node:
                     break
         attrs = found[4]
         number = int(m[1]) if name == "ol" and (m := _START.search(attrs)) else 1
-        node = Node(name, name in HIDDEN or bool(attrs) and bool(_HIDE.search(attrs)), number)
+        t = open_table() if not placed and stack[-1].name in _ROWS else 0
+        hidden, shown = _visibility(name, attrs, stack[t - 1 if t else -1].shown, stack)
+        if name in _UNDRAWN and any(x.name in _FOREIGN for x in stack):
+            hidden = True
+        node = Node(name, hidden, number, shown)
         if placed:
             stack[-1].children.append(node)
         else:
@@ -174,13 +216,15 @@ def parse(page: str) -> Node:
         if name in VOID or name == "colgroup":
             continue
         if name in RAW:
+            if attrs.endswith("/") and any(x.name in _FOREIGN for x in stack):
+                continue
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
             stop = end.start() if end else size
-            node.children.append(page[at:stop])
+            node.children.append(html.unescape(page[at:stop].removeprefix("\n")) if name == "textarea" else page[at:stop])
             at = page.find(">", stop) + 1 if end else size
             at = at or size
             continue
-        if attrs.endswith("/") and name not in BLOCK and (name not in HIDDEN or name in _FOREIGN) or len(stack) >= MAX_DEPTH:
+        if attrs.endswith("/") and name not in BLOCK and name not in HIDDEN or len(stack) >= MAX_DEPTH:
             continue
         stack.append(node)
     return root
@@ -251,6 +295,8 @@ def render(node: Node, depth: int = 0) -> list[str]:
                 out.gap()
             elif n.name in BLOCK:
                 out.line()
+            if n.name in _BOXES:
+                out.space = True
             if n.name in LISTS:
                 lists.pop()
             if n.name == "li":
@@ -272,6 +318,8 @@ def render(node: Node, depth: int = 0) -> list[str]:
             continue
         if n.hidden:
             continue
+        if n.name in _BOXES:
+            out.space = True
         if n.name == "br":
             out.line(not out.now)
             continue
@@ -298,12 +346,12 @@ def render(node: Node, depth: int = 0) -> list[str]:
             mark = f"{number}. " if ordered else "- "
             if lists:
                 lists[-1][1] += 1
-            out.indent, out.mark = out.indent + " " * len(mark), mark
+            out.indent, out.mark = out.indent + " " * len(mark), mark if n.shown else ""
         if n.name == "blockquote":
             out.indent += "  "
         todo.append(("close", n, state))
-        inner = pre if n.name != "pre" else True
-        todo.extend(("open", c, inner) for c in reversed(n.children))
+        inner = pre if n.name not in ("pre", "textarea") else True
+        todo.extend(("open", c, inner) for c in reversed(n.children) if n.shown or isinstance(c, Node))
     out.line()
     return out.lines
 
@@ -328,7 +376,7 @@ def _table(table: Node, depth: int) -> list[str]:
 
 
 def _inner(cell: Node) -> Node:
-    node = Node("#cell", False)
+    node = Node("#cell", False, 1, cell.shown)
     node.children = cell.children
     return node
 

@@ -510,6 +510,25 @@ def test_html_head_and_self_closing_elements_end(page, text):
     assert html_text.text_of(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p title='A hidden gem in Rome'>a<p data-x=\"overflow hidden auto\">b<p data-style='display:none'>c", "a\n\nb\n\nc"),
+        ("<span aria-hidden=true>a</span> <b aria-hidden='true'>b</b>", "a b"),
+        ("a<i hidden>b</i><i HIDDEN=''>c</i><i style='color:red; Display : NONE !important;display:block'>d</i>", "a"),
+        ("<i style='display:none;display:inline'>a</i><i style=\"background:url('x;display:none')\">b</i><i hidden style=display:inline>c</i>", "abc"),
+        ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b><ul><li>c</ul></div>d", "b\n\nd"),
+        ("a<button>b</button>c<select><option>d<option>e</select>f", "a b c\nd\ne\nf"),
+        ("<p>a<textarea>\nb &lt;i&gt;\n  c</textarea>d", "a\nb <i>\n  c\nd"),
+        ("<dialog>a</dialog><dialog open>b</dialog>c", "b\nc"),
+        ("<svg><title>t</title><style/><defs><text>no</text></defs><text>a</text><text>b</text><text display=none>no</text><path/></svg><i display=none></i> <math><mi>x</mi><annotation>no</annotation></math>", "a b x"),
+        ("<style style='display:block'>p{}</style><template><b>x</b></template>a", "a"),
+    ],
+)
+def test_html_shows_what_a_reader_sees(page, text):
+    assert html_text.text_of(page) == text
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "<p>a", "x"), (2, None, None), (None, "b", "c")], "page_id bigint, html string, text string")
     assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == {1: "a", 2: None, None: "b"}
