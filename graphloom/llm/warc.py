@@ -7,8 +7,9 @@ MAX_RANGE bytes with gaps of at most MAX_GAP, and each range is one read.
 
 Of the pages with equal payloads the one with the smallest id is a response, the rest
 are revisits that carry its digest and no payload.  Digests are grouped with map-side
-combine, and only pages of groups with copies are joined back, by page, so a payload
-that a third of all pages share is spread like any other.
+combine, and only pages of groups with copies are joined back, by page and digest, so a
+payload that a third of all pages share is spread like any other, and rows that share a
+page id but not a payload are told apart.
 
 A task writes a file under a name of its own attempt; the index names the files that
 count.  Defined results: a null or empty payload is a payload of 0 bytes; payloads
@@ -73,11 +74,15 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:size]
 
 
+def _payload_hash():
+    return F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
+
+
 def first_copies(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(id, first): for each page that repeats another's payload, the smallest page with it."""
-    keyed = pages.select("id", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("d"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size")).where(f"size >= {int(min_bytes)}")
+    """(id, d, first): for each page id and hash of a payload that another page repeats, the smallest page with it."""
+    keyed = pages.select("id", _payload_hash().alias("d"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size")).where(f"size >= {int(min_bytes)}")
     groups = keyed.groupBy("d").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("d", "first")
-    return keyed.join(groups, "d").where("id != first").select("id", "first").distinct()
+    return keyed.join(groups, "d").where("id != first").select("id", "d", "first").distinct()
 
 
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES, root: str | None = None) -> DataFrame:
@@ -88,8 +93,8 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     fs.create_dir(path, recursive=True)
     rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     copies = saved(first_copies(rows, min_bytes), "copies")
-    # Rows that share an id but not a payload, or an id and a payload, are told apart by the digest in the writer.
-    marked = rows.join(copies.withColumnRenamed("id", "copy"), F.col("id") == F.col("copy"), "left").select("id", "url", "html", F.col("first").alias("refers_to"))
+    # One row of copies for an id and a payload, so every page keeps its number of rows.
+    marked = rows.withColumn("d", _payload_hash()).join(copies, ["id", "d"], "left").select("id", "url", "html", F.col("first").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uri, out, at = f"{root}/part-{uuid.uuid4().hex}.warc.gz", None, 0

@@ -275,6 +275,18 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
 
 
+def test_warc_repeated_page_ids(spark):
+    # 5: a copy, two rows of a payload of its own; 6: copies of two payloads, one of them twice; 1: its own first copy twice
+    rows = [(1, "a"), (1, "a"), (2, "b"), (5, "a"), (5, "own"), (5, "own"), (6, "a"), (6, "b"), (6, "b"), (7, "own"), (None, "lone")]
+    first = {"a": 1, "b": 2, "own": 5}
+    pages = spark.createDataFrame([(i, f"u{i}", h) for i, h in rows], "page_id bigint, url string, html string").repartition(3)
+    got = warc.read(warc.write(pages)).collect()
+    want = [(i, warc.payload_digest(h.encode()), first[h] if i is not None and first[h] != i else None) for i, h in rows]
+    assert sorted(((r.page_id, r.payload_digest, r.refers_to) for r in got), key=repr) == sorted(want, key=repr)
+    assert all((r.type == "response") == (r.refers_to is None) == (r.payload is not None) for r in got)
+    assert {bytes(r.payload).decode() for r in got if r.payload is not None} == {h for _, h in rows}
+
+
 def test_warc_selection_and_ranges(spark):
     pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}" * 50) for i in range(60)], "page_id bigint, url string, html string").coalesce(1)
     index = warc.write(pages)
