@@ -8,6 +8,9 @@ the bytes of its ids.  New chunks that start with white space are encoded in one
 as one text; the byte lengths of the ids tell where each chunk ends.  The cache has two
 generations of at most GENERATION chunks: what is used moves to the younger one, the
 older one is dropped, so memory is bounded and frequent words stay.
+
+The library takes the file's added tokens (such as `<|endoftext|>`) out of a text before
+all else and encodes what lies between them apart; so each is a chunk of its own here.
 """
 
 from __future__ import annotations
@@ -33,11 +36,19 @@ _open: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """encode(text) -> ids as little-endian unsigned 32-bit bytes, without special tokens."""
+    """encode(text) -> ids as little-endian unsigned 32-bit bytes, no special tokens around them.
+
+    With added_tokens, those in a text have their own ids, as the library has it by default; else they are plain text.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
+        added = list(self.tokenizer.get_added_tokens_decoder().values()) if added_tokens else []
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added):
+            raise ValueError("added tokens that match otherwise than letter by letter are not supported")
+        self.added = sorted((t.content for t in added), key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, self.added))})")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -47,6 +58,12 @@ class Encoder:
         self.old: dict[str, bytes] = {}
         self.held = 0
 
+    def _chunks(self, text: str) -> list[str]:
+        if not any(t in text for t in self.added):
+            return _CHUNK.findall(text)
+        parts = self.cut.split(text)
+        return [c for i, x in enumerate(parts) for c in ([x] if i % 2 else _CHUNK.findall(x))]
+
     def _one(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -72,7 +89,7 @@ class Encoder:
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         if len(self.young) > GENERATION or self.held > GENERATION_BYTES:
             self.old, self.young, self.held = self.young, {}, 0
-        split = [_CHUNK.findall(t) if t else [] for t in texts]
+        split = [self._chunks(t) if t else [] for t in texts]
         missing = set(chain.from_iterable(split)).difference(self.young)
         if missing:
             self._learn(missing)
@@ -84,7 +101,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each tokenizer file and worker."""
+    """One encoder for each tokenizer file and worker; ids are the library's by default."""
     if path not in _open:
-        _open[path] = Encoder(path)
+        _open[path] = Encoder(path, added_tokens=True)
     return _open[path]

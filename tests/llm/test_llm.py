@@ -337,6 +337,20 @@ def test_encoder_is_the_library(name):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_operators_encode_as_the_unmodified_library(name):
+    path = tokenizer_path(name)
+    plain = Tokenizer.from_file(path)
+    rnd = random.Random(2)
+    parts = [" ", "  ", "\n", "\xa0", "'s", "é", "\u0301", "a", "B", "bc", "12", "!", "<|", "|>", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "endoftext", "Σ", "中"]
+    texts = ["hello <|endoftext|> world", "<|endoftext|><|endoftext|>", "a<|startoftext|>b", " <|endoftext|>"]
+    texts += ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(1500)]
+    for text, ids in zip(texts, token_files.ids_of(texts, path), strict=True):
+        assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, token_files.END_ID], repr(text)
+    if name == "byte_bpe_50k.json":
+        assert tokens.encoder(path).encode(texts[0]) == np.array([31373, 220, 50256, 995], "<u4").tobytes()
+
+
 def test_token_files(spark):
     rnd = random.Random(4)
     rows = [(i, prose(rnd)) for i in range(80)] + [(200, None), (201, ""), (202, "x" * 5000), (203, "dup"), (203, "dup")]
