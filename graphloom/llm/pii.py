@@ -2,8 +2,9 @@
 
 Base matches are found by pattern.  Nodes of the field are the base matches and every
 other token with an `@` or four digits or more.  Neighbours in the text share chain
-potentials; nodes with the same digits or the same address, however far apart and
-however written, share skip potentials.  Loopy sum-product passes messages until the
+potentials; nodes with the same digits (seven or more) or the same address, however far
+apart, share skip potentials.  A repeat is a node only where it is one token: one written
+with spaces, or with another prefix, is not linked.  Loopy sum-product passes messages until the
 labels of a document agree; a token that the patterns miss but that repeats a found
 number or address in another notation gets its label.  Base matches are evidence and
 always stay.
