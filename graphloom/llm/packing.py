@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import TOGETHER, encoder
+from .tokens import encode_column
 
 CAPACITY = 4096
 END_ID = 2
@@ -100,8 +99,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 32
-        end = np.array([end_id], "<u4").tobytes()
-        held: dict[int, tuple[object, bytes]] = {}
+        held: dict[int, tuple[object, np.ndarray]] = {}
         pieces: list[Piece] = []
         tokens = serial = 0
 
@@ -112,7 +110,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
                 at = 0
                 for doc, start, length in seq:
                     name, ids = held[doc]
-                    rows.append((name, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, sequence, at))
+                    rows.append((name, start, length, zlib.crc32(ids[start : start + length]), len(ids), sequence, at))
                     at += length
                 sequence += 1
             columns = list(zip(*rows, strict=True)) or [[]] * 7
@@ -122,12 +120,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         id_type = pa.null()
         for batch in batches:
             id_type = batch.column(0).type
-            texts = (encoder(tokenizer).encode_many(batch.column(1).slice(i, TOGETHER).to_pylist()) for i in range(0, batch.num_rows, TOGETHER))
-            for name, ids in zip(batch.column(0), chain.from_iterable(texts), strict=True):
-                ids += end
-                held[serial] = name.as_py(), ids
-                pieces.append((serial, 0, len(ids) // 4))
-                serial, tokens = serial + 1, tokens + len(ids) // 4
+            for name, ids in zip(batch.column(0).to_pylist(), encode_column(batch.column(1), tokenizer, end_id), strict=True):
+                held[serial] = name, ids
+                pieces.append((serial, 0, len(ids)))
+                serial, tokens = serial + 1, tokens + len(ids)
                 if tokens >= WINDOW_TOKENS:
                     made, pieces = pack(pieces, capacity)
                     yield emit(made)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import file_system, plan_bytes, sample_by_hash, saved, shared_dir, spread
-from .tokens import TOGETHER, encoder
+from .tokens import encode_column, encode_texts, encoder
 
 MAGIC = b"TOKIDS01"
 _HEAD, _TAIL = struct.Struct("<8sB32s"), struct.Struct("<QQ8s")
@@ -42,8 +42,7 @@ TRAIN_DOCS, DICT_BYTES, SHARD_BYTES, MIN_SHARDS = 1000, 64 << 10, 16 << 20, 16
 
 
 def ids_of(texts: list[str | None], tokenizer: str, end_id: int = END_ID) -> list[np.ndarray]:
-    end = np.array([end_id], "<u4").tobytes()
-    return [np.frombuffer(x + end, "<u4") for x in encoder(tokenizer).encode_many(texts)]
+    return encode_texts(texts, tokenizer, end_id)
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, n_docs: int = TRAIN_DOCS, size: int = DICT_BYTES, width: int = 2) -> bytes:
@@ -140,6 +139,8 @@ def _cuts(docs: DataFrame, id_col: str, shards: int) -> list[int]:
 def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, width: int = 2, root: str | None = None) -> tuple[list[tuple[str, int, int, int]], bytes]:
     """Writes all documents; the manifest [(file, documents, ids, ids before it)] in order, and the dictionary."""
     spark = docs.sparkSession
+    if max(encoder(tokenizer).top, end_id) >= 1 << 8 * width:
+        raise ValueError(f"{tokenizer} has ids that do not fit {width} bytes")
     root = root or shared_dir(spark, "tokens")
     fs, path = file_system(root)
     fs.create_dir(path, recursive=True)
@@ -149,13 +150,12 @@ def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(dictionary)[0]
         for batch in batches:
-            for first in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(first, TOGETHER)
-                names, rows = part.column(0).to_pylist(), ids_of(part.column(1).to_pylist(), tokenizer, end_id)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([0 if x is None else bisect_right(cuts, x) for x in names], pa.int32()), pa.array([len(r) for r in rows], pa.int64()), pa.array([codec.compress(r.astype(f"<u{width}").tobytes()) for r in rows], pa.binary())],
-                    ["id", "shard", "n", "frame"],
-                )
+            names, counts, frames = batch.column(0).to_pylist(), [], []
+            for ids in encode_column(batch.column(1), tokenizer, end_id):
+                counts.append(len(ids))
+                frames.append(codec.compress(ids.astype(f"<u{width}").tobytes()))
+            shards = [0 if x is None else bisect_right(cuts, x) for x in names]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shards, pa.int32()), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], ["id", "shard", "n", "frame"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, now, done = None, None, []
@@ -178,7 +178,7 @@ def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("t"))
     frames = rows.mapInArrow(encode, "id bigint, shard int, n bigint, frame binary")
-    placed = frames.repartition(len(cuts) + 1, "shard").sortWithinPartitions(F.col("shard"), F.col("id").asc_nulls_first(), F.col("n"), F.xxhash64("frame"))
+    placed = frames.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions(F.col("shard"), F.col("id").asc_nulls_first(), F.col("n"), F.xxhash64("frame"))
     written = saved(placed.mapInArrow(write, "file string, shard int, docs bigint, ids bigint"), "manifest").orderBy("shard").collect()
     manifest, before = [], 0
     for r in written:

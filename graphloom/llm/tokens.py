@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +42,10 @@ _ASCII_SIGN = ~_SPACE & ~_ASCII_LETTER & ~ts.byte_class([(0x80, 0xFF)])
 #: The last two or three bytes of white space beyond ASCII, as Unicode's White_Space property has it; fixed values.
 _WIDE_SPACES = "\x85\xa0                　"
 _WIDE = np.array(sorted(int.from_bytes(c.encode().rjust(3, b"\0"), "big") for c in _WIDE_SPACES), np.int64)
-_LATIN = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
+_ACCENTED = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
 #: One word of the model, and chunks that can be encoded as part of a longer text: both keep their byte length when lower-cased.
-_WORD = re.compile(rb" ?" + _LATIN + rb"+")
-_PLAIN = re.compile(rb"[ \n]+(?:[!-~]|" + _LATIN + rb")+")
+_WORD = re.compile(rb" ?(?:[A-Za-z]|" + _ACCENTED + rb")++")
+_PLAIN = re.compile(rb"[ \n]++(?:[!-~]|" + _ACCENTED + rb")++")
 #: The character that stands for each byte in byte-level vocabularies: itself if it can be printed, else the next from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LETTER_OF = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
@@ -272,7 +273,14 @@ def encoder(path: str) -> Encoder:
     return _open[path]
 
 
+def encode_column(column: pa.Array, path: str, end_id: int) -> Iterator[np.ndarray]:
+    """The ids of each text with end_id after them; nulls are empty.  About TEXT_BYTES of text are in work at once."""
+    for _, _, data, offsets in ts.chunks(*ts.utf8(column), TEXT_BYTES):
+        ids, at = encoder(path).with_end(data, offsets, end_id)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield ids[a:b]
+
+
 def encode_texts(texts: list[str | None], path: str, end_id: int) -> list[np.ndarray]:
-    """The ids of each text with end_id after them."""
-    ids, at = encoder(path).with_end(*ts.utf8(pa.array(texts, pa.large_string())), end_id)
-    return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    """As encode_column, of a list."""
+    return list(encode_column(pa.array(texts, pa.large_string()), path, end_id))

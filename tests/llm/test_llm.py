@@ -325,30 +325,30 @@ def test_isotonic_and_tree_sum(spark):
 # --- tokens --------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_encoder_is_the_library(name):
-    plain = Tokenizer.from_file(tokenizer_path(name))
-    plain.encode_special_tokens = True
-    encoder = tokens.Encoder(tokenizer_path(name))
-    rnd = random.Random(1)
-    parts = [" ", "  ", "\n", "\t", "\xa0", "\x85", "\x1c", "'s", "'", "é", "É", "̈", "a", "B", "bc", "12", "!", "<|endoftext|>", "Σ", "ΑΣ", "İ", "ß", "中", "😀", "​", "ł", "ª", "'ll", "_"]
-    for _ in range(1500):
-        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14)))
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+ENCODED = [" ", "  ", "\n", "\t", "\xa0", "\x85", "\x1c", "\u3000", "'s", "'", "é", "É", "\u0301", "a", "B", "bc", "12", "!", "Σ", "ΑΣ", "İ", "ß", "中", "😀", "\u200b", "ł", "ª", "'ll", "_"]
+ENCODED += ["<|", "|>", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "endoftext", "word", " the", "Zürich", "x" * 33, "\r\n", "\0"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_operators_encode_as_the_unmodified_library(name):
-    path = tokenizer_path(name)
+    path, rnd = tokenizer_path(name), random.Random(2)
     plain = Tokenizer.from_file(path)
-    rnd = random.Random(2)
-    parts = [" ", "  ", "\n", "\xa0", "'s", "é", "\u0301", "a", "B", "bc", "12", "!", "<|", "|>", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "endoftext", "Σ", "中"]
-    texts = ["hello <|endoftext|> world", "<|endoftext|><|endoftext|>", "a<|startoftext|>b", " <|endoftext|>"]
-    texts += ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(1500)]
-    for text, ids in zip(texts, token_files.ids_of(texts, path), strict=True):
-        assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, token_files.END_ID], repr(text)
+    texts = ["hello <|endoftext|> world", "<|endoftext|><|endoftext|>", "a<|startoftext|>b", " <|endoftext|>", "", None]
+    texts += ["".join(rnd.choice(ENCODED) for _ in range(rnd.randint(0, 20))) for _ in range(4000)]
+    texts += ["".join(rnd.choice(ENCODED) for _ in range(20_000)), prose(rnd, 30_000)]
+    want = [[*plain.encode(t or "", add_special_tokens=False).ids, token_files.END_ID] for t in texts]
+    for text, ids, w in zip(texts, token_files.ids_of(texts, path), want, strict=True):
+        assert ids.tolist() == w, repr(text)[:200]
     if name == "byte_bpe_50k.json":
-        assert tokens.encoder(path).encode(texts[0]) == np.array([31373, 220, 50256, 995], "<u4").tobytes()
+        assert want[0] == [31373, 220, 50256, 995, 0]
+    small = tokens.Encoder(path, max_chunks=64, step=16)  # the table is emptied again and again
+    ids, at = small.with_end(*textscan.utf8(pa.array(texts[:600], pa.large_string())), token_files.END_ID)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want[:600]
+
+
+def test_token_ids_must_fit_their_width(spark):
+    with pytest.raises(ValueError, match="fit"):
+        token_files.write_shards(documents(spark, [(1, "a")]), tokenizer_path("byte_bpe_50k.json"), width=1)
 
 
 def test_token_files(spark):
@@ -357,9 +357,9 @@ def test_token_files(spark):
     path = tokenizer_path("byte_bpe_50k.json")
     manifest, dictionary = token_files.write_shards(documents(spark, rows), path)
     got = sorted(map(tuple, token_files.read_shards(spark, manifest, dictionary).collect()), key=lambda r: r[1])
-    encoder, at, want = tokens.Encoder(path), 0, []
+    plain, at, want = Tokenizer.from_file(path), 0, []
     for i, t in sorted(rows, key=lambda r: r[0]):
-        ids = encoder.encode(t) + b"\0\0\0\0"
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
         want.append((i, at, len(ids) // 4, zlib.crc32(ids)))
         at += len(ids) // 4
     assert got == want
@@ -401,11 +401,11 @@ def test_pack_documents(spark):
     rows = [(100 + i, prose(rnd, rnd.randint(1, 400))) for i in range(60)] + ODD
     path = tokenizer_path("word_bpe_49k.json")
     got = packing.pack_documents(documents(spark, rows), path).collect()
-    encoder, by = tokens.Encoder(path), defaultdict(list)
+    plain, by = Tokenizer.from_file(path), defaultdict(list)
     for r in got:
         by[r.doc_id].append(r)
     for i, t in rows:
-        ids, at = encoder.encode(t) + b"\2\0\0\0", 0
+        ids, at = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes(), 0
         for r in sorted(by[i], key=lambda r: r.start):
             assert r.start == at and r.doc_tokens == len(ids) // 4 and r.ids_crc32 == zlib.crc32(ids[4 * at : 4 * (at + r.length)])
             at += r.length
