@@ -51,8 +51,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.command == "ci":
         steps = yaml_facts.ci_steps(src).where("error is null").withColumnRenamed("module_id", "workflow")
         steps = steps.withColumn("text", evaluate.step_text("name", "command", "action")).withColumn("is_test", evaluate.is_test(F.col("text"))).withColumn("is_build", evaluate.is_build(F.col("text")))
-        needs = yaml_facts.ci_jobs(src).where("error is null").select(F.col("module_id").alias("workflow"), "job", F.explode("needs").alias("need"))
-        missing = evaluate.missing_test(steps).select(F.lit("error missing-test").alias("content"))
+        jobs = yaml_facts.ci_jobs(src).where("error is null")
+        needs = jobs.select(F.col("module_id").alias("workflow"), "job", F.explode("needs").alias("need"))
+        workflows = jobs.select(F.col("module_id").alias("workflow"))
+        missing = evaluate.missing_test(steps, workflows=workflows).select(F.lit("error missing-test").alias("content"))
         build = evaluate.build_without_test(steps, needs).select(F.concat(F.lit("warning build-without-test-dependency "), "job").alias("content"))
         twice = evaluate.duplicate_commands(steps).select(F.concat(F.lit("warning duplicate-command "), "command").alias("content"))
         found = missing.unionByName(build).unionByName(twice).collect()
@@ -60,8 +62,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         return int(args.check and any(r[0].startswith("error") for r in found))
     rows = files.deployment_files(files.listing(spark, args.path))
     texts = files.read_sources(spark, args.path)
-    kinds = rows.select(F.concat(F.lit("/"), "path").alias("tail"), "kind")
-    src = texts.join(F.broadcast(kinds), F.expr("endswith(module_id, tail)"))
+    src = texts.join(rows.select(F.col("file").alias("module_id"), "kind"), "module_id")
     nodes, edges = yaml_facts.kubernetes(src.where("kind = 'kubernetes'"))
     compose = yaml_facts.compose(src.where("kind = 'compose'"))
     links = edges.select(F.col("source").alias("caller"), F.col("target").alias("callee")).unionByName(compose.where("row = 'edge'").select(F.col("id").alias("caller"), F.col("target").alias("callee")))

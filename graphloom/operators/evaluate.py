@@ -23,9 +23,15 @@ def is_build(text: Column) -> Column:
     return text.rlike("|".join(BUILD_WORDS))
 
 
-def missing_test(steps: DataFrame, workflow: str = "workflow") -> DataFrame:
-    """steps (workflow, job, is_test, is_build, pos): workflows without any test step."""
-    return steps.groupBy(workflow).agg(F.max(F.col("is_test").cast("int")).alias("t")).where("t = 0").select(workflow)
+def missing_test(steps: DataFrame, workflow: str = "workflow", workflows: DataFrame | None = None) -> DataFrame:
+    """steps (workflow, job, is_test, is_build, pos): workflows without any test step.
+
+    `workflows` (workflow, ...) adds those that may have no step at all.
+    """
+    marks = steps.select(workflow, F.coalesce(F.col("is_test"), F.lit(False)).cast("int").alias("t"))
+    if workflows is not None:
+        marks = marks.unionByName(workflows.select(workflow, F.lit(0).alias("t")))
+    return marks.groupBy(workflow).agg(F.max("t").alias("t")).where("t = 0").select(workflow)
 
 
 def build_without_test(steps: DataFrame, needs: DataFrame, workflow: str = "workflow") -> DataFrame:
@@ -43,7 +49,7 @@ def build_without_test(steps: DataFrame, needs: DataFrame, workflow: str = "work
 
 def duplicate_commands(steps: DataFrame, workflow: str = "workflow") -> DataFrame:
     """(workflow, command, n, jobs): commands of two steps or more, their jobs sorted and as often as they use it."""
-    trimmed = steps.select(workflow, "job", F.trim("command").alias("command")).where("command != ''")
+    trimmed = steps.where("command != ''").select(workflow, "job", F.regexp_replace("command", r"^\s+|\s+$", "").alias("command"))
     return trimmed.groupBy(workflow, "command").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("job")), ", ").alias("jobs")).where("n > 1")
 
 

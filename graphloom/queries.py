@@ -440,15 +440,18 @@ def merge_confidence(s, d):
 
 
 @query(
-    """WITH sel AS (SELECT DISTINCT 'Q' || (p_partkey % 40) AS selector, 'brand' AS k, p_brand AS v FROM part WHERE p_partkey < 40 UNION SELECT DISTINCT 'Q' || (p_partkey % 40), 'size', CAST(p_size AS VARCHAR) FROM part WHERE p_partkey < 20),
+    """WITH sel AS (SELECT DISTINCT p_brand AS selector, 'brand' AS k, p_brand AS v FROM part UNION SELECT p_brand || '/' || p_size, 'brand', p_brand FROM part UNION SELECT p_brand || '/' || p_size, 'size', CAST(p_size AS VARCHAR) FROM part),
 lab AS (SELECT p_partkey AS target, 'brand' AS k, p_brand AS v FROM part UNION ALL SELECT p_partkey, 'size', CAST(p_size AS VARCHAR) FROM part), need AS (SELECT selector, count(*) AS c FROM sel GROUP BY 1)
 SELECT sel.selector, target FROM sel JOIN lab USING (k, v) JOIN need USING (selector) GROUP BY sel.selector, target, c HAVING count(*) = c"""
 )
 def selector_match(s, d):
+    """Selectors of one label (each brand) and of two (each brand and size) against all parts."""
     p = table(s, d, "part").select("p_partkey", "p_brand", F.col("p_size").cast("string").alias("p_size"))
-    sel = lambda low, k, v: p.where(F.col("p_partkey") < low).select(F.concat(F.lit("Q"), F.col("p_partkey") % 40).alias("selector"), F.lit(k).alias("k"), F.col(v).alias("v"))
+    pair = lambda name, k, v: p.select(name.alias("selector"), F.lit(k).alias("k"), F.col(v).alias("v")).distinct()
+    both = F.concat_ws("/", "p_brand", "p_size")
+    selectors = pair(F.col("p_brand"), "brand", "p_brand").unionByName(pair(both, "brand", "p_brand")).unionByName(pair(both, "size", "p_size"))
     lab = lambda k, v: p.select(F.col("p_partkey").alias("target"), F.lit(k).alias("k"), F.col(v).alias("v"))
-    return resolve.selector_matches(sel(40, "brand", "p_brand").unionByName(sel(20, "size", "p_size")), lab("brand", "p_brand").unionByName(lab("size", "p_size")))
+    return resolve.selector_matches(selectors, lab("brand", "p_brand").unionByName(lab("size", "p_size")))
 
 
 @query("WITH x AS (SELECT p_partkey, lower(p_name || ' ' || CASE p_partkey % 5 WHEN 0 THEN 'postgres:16' WHEN 1 THEN 'Redis' WHEN 2 THEN 'kafka' ELSE p_type END) AS v FROM part) SELECT p_partkey, CASE WHEN regexp_matches(v, 'postgres|mysql|mariadb|mongo|sqlite') THEN 'database' WHEN regexp_matches(v, 'redis|memcached') THEN 'cache' WHEN regexp_matches(v, 'rabbitmq|kafka|nats|activemq') THEN 'message-queue' ELSE 'service' END AS kind FROM x")

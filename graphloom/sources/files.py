@@ -38,11 +38,15 @@ def is_ignored(path: Column | str) -> Column:
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path) of all files below root, relative to it; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    """(path, file) of all files below root: relative to it, and as `read_sources` names it; contents are not read.
+
+    A root that is one file has that file's name as its path.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("_metadata.file_path").alias("file"))
     base = F.lit(root.rstrip("/").removeprefix("file:").replace("//", "/"))
     plain = F.regexp_replace(F.regexp_replace("path", "^file:", ""), "/+", "/")
-    return files.select(plain.alias("p"), base.alias("b")).select(F.expr("substring(p, length(b) + 2)").alias("path"))
+    path = F.expr("CASE WHEN p = b THEN substring_index(p, '/', -1) ELSE substring(p, length(b) + 2) END")
+    return files.select(plain.alias("p"), base.alias("b"), "file").select(path.alias("path"), "file")
 
 
 def supported_files(files: DataFrame) -> DataFrame:

@@ -127,7 +127,11 @@ def _own_statements(body: list[ast.stmt]) -> Iterator[ast.stmt]:
 
 
 def objects(source: str) -> Iterator[tuple]:
-    """Objects by scope: the first construction fixes type and line; literal fields and references, last one wins."""
+    """Objects by scope and full dotted target: the first construction fixes type and line.
+
+    Literal arguments and fields are values; an object built on another one's attribute, or
+    a name assigned to it, is a reference of that one.  The last assignment wins.
+    """
     tree = ast.parse(source)
     classes = {n.name for n in ast.walk(tree) if isinstance(n, ast.ClassDef)}
 
@@ -142,20 +146,19 @@ def objects(source: str) -> Iterator[tuple]:
         for node in _own_statements(body):
             targets = node.targets if isinstance(node, ast.Assign) else [node.target] if isinstance(node, ast.AnnAssign) else []
             for target in targets:
-                owner, _, field = dotted(target).rpartition(".")
-                if not owner and field and (kind := constructed(node.value)):
-                    known = held.setdefault(field, {"type": kind, "line": node.lineno, "values": {}, "refs": {}})
-                    named = [(f"arg{i + 1}", a) for i, a in enumerate(node.value.args)] + [(k.arg, k.value) for k in node.value.keywords if k.arg]
-                    pairs = named
-                elif owner in held:
-                    known, pairs = held[owner], [(field, node.value)]
-                else:
-                    continue
-                for label, value in pairs:
-                    if (shown := _literal(value)) is not None:
-                        known["values"][label] = shown
-                    elif isinstance(value, ast.Name):
-                        known["refs"][label] = value.id
+                name, kind = dotted(target), constructed(node.value)
+                owner = held.get(dotted(target.value)) if isinstance(target, ast.Attribute) else None
+                if name and kind:
+                    known = held.setdefault(name, {"type": kind, "line": node.lineno, "values": {}, "refs": {}})
+                    given = [(f"arg{i + 1}", a) for i, a in enumerate(node.value.args)] + [(k.arg, k.value) for k in node.value.keywords if k.arg]
+                    known["values"].update((label, shown) for label, value in given if (shown := _literal(value)) is not None)
+                    if owner is not None:
+                        owner["refs"][target.attr] = name
+                elif owner is not None and node.value is not None:
+                    if (shown := _literal(node.value)) is not None:
+                        owner["values"][target.attr] = shown
+                    elif other := dotted(node.value):
+                        owner["refs"][target.attr] = other
         for name, o in held.items():
             yield scope, name, o["type"], o["line"], list(o["values"].items()), list(o["refs"].items())
 

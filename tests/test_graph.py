@@ -173,6 +173,10 @@ def test_ci_rules(spark):
     assert rows(evaluate.missing_test(steps)) == [("v",)]
     assert rows(evaluate.build_without_test(steps, needs)) == [("w", "c")]
     assert rows(evaluate.duplicate_commands(steps)) == [("w", "make", 2, "b, c")]
+    lines = spark.createDataFrame([("w", "a", "pytest"), ("w", "b", "pytest\n"), ("w", "c", None), ("w", "d", "")], "workflow string, job string, command string")
+    assert rows(evaluate.duplicate_commands(lines)) == [("w", "pytest", 2, "a, b")]
+    flows = spark.createDataFrame([("w",), ("v",), ("empty",)], "workflow string")
+    assert sorted(rows(evaluate.missing_test(steps, workflows=flows))) == [("empty",), ("v",)]
 
 
 def test_merge_keeps_confident_first(spark):

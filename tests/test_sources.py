@@ -86,6 +86,23 @@ def test_states_and_objects(spark):
     assert (o.name, o.type_name) == ("repo", "Repo") and [tuple(v) for v in o.field_values] == [("arg1", "'db.sqlite'"), ("timeout", "30")] and [tuple(v) for v in o.refs] == [("owner", "boss")]
 
 
+def test_objects_on_attributes(spark):
+    src = sources(spark, "class Repo: pass\nx = Repo()\nx.child = Repo(y)\nx.child.size = 3\nx.other = a.b\ny.z = 1\nclass S:\n def __init__(self):\n  self.repo = Repo()\n  self.repo.mode = 'r'\n  self.name = 'n'\n")
+    got = [(r.scope, r.name, r.type_name, [tuple(v) for v in r.field_values], [tuple(v) for v in r.refs]) for r in python_facts.facts(src, "objects").orderBy("line").collect()]
+    assert got == [
+        (None, "x", "Repo", [], [("child", "x.child"), ("other", "a.b")]),
+        (None, "x.child", "Repo", [("size", "3")], []),
+        ("S.__init__", "self.repo", "Repo", [("mode", "'r'")], []),
+    ]
+
+
+def test_listing_of_a_folder_and_of_one_file(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "Dockerfile").write_text("FROM x\n")
+    assert [r.path for r in files.listing(spark, str(tmp_path)).collect()] == ["a/Dockerfile"]
+    assert [r.path for r in files.listing(spark, str(tmp_path / "a" / "Dockerfile")).collect()] == ["Dockerfile"]
+
+
 def test_timing_inputs_activity(spark):
     kinds = [r.kind for r in python_facts.facts(sources(spark, ASYNC), "timing").orderBy("ord").collect()]
     assert kinds == ["parallel_start", "wait", "sync", "parallel_start", "parallel_start", "parallel_join", "timer", "callback", "periodic", "await", "sync", "call"]
