@@ -169,11 +169,12 @@ def _send(bits: int):
             for first, end, data, offsets in ts.chunks(*ts.utf8(batch.column(1))):
                 more = shingle_sets(data, offsets)
                 names = batch.column(0).slice(first, end - first).to_pylist()
-                for at in range(0, len(more), BLOCK_DOCS):
-                    ids += names[at : at + BLOCK_DOCS]
-                    sets += more[at : at + BLOCK_DOCS]
-                    held += sum(map(len, more[at : at + BLOCK_DOCS]))
-                    if held >= BLOCK_ENTRIES or len(ids) >= BLOCK_DOCS // 2:
+                step = BLOCK_DOCS // 2
+                for at in range(0, len(more), step):
+                    ids += names[at : at + step]
+                    sets += more[at : at + step]
+                    held += sum(map(len, more[at : at + step]))
+                    if held >= BLOCK_ENTRIES or len(ids) >= step:
                         yield flush()
         if ids:
             yield flush()
@@ -208,7 +209,7 @@ def _answer(bits: int):
             for i, name in enumerate(sent.block):
                 a, b = cut[i], cut[i + 1]
                 if b > a:
-                    out.append((name, "shared", np.stack([pairs[a:b] & 0xFFFF, n[a:b]]).astype("<u2").tobytes()))
+                    out.append((name, "shared", np.stack([pairs[a:b] & 0xFFFF, n[a:b]]).astype("<u4").tobytes()))
             often = times >= FREQUENT
             top = ranked[edge[:-1][often]].astype(np.uint64) | np.uint64(int(rows.bucket.iloc[0])) << np.uint64(32)
             if len(top):
@@ -224,7 +225,7 @@ def _survive(rows: pd.DataFrame) -> pd.DataFrame:
     table = np.frombuffer(zstandard.decompress(rows.data[rows.kind == "table"].iloc[0]), np.int64).reshape(4, -1)
     shared = np.zeros(table.shape[1], np.int64)
     for blob in rows.data[rows.kind == "shared"]:
-        who, n = np.frombuffer(blob, "<u2").reshape(2, -1)
+        who, n = np.frombuffer(blob, "<u4").reshape(2, -1)
         np.add.at(shared, who.astype(np.int64), n.astype(np.int64))
     ids, known, size, sampled = table
     alive = (size > 0) & (known > 0) & (shared >= sampled - (size - -(-NUM * size // DEN)))
