@@ -73,7 +73,7 @@ class Items:
 def build_items(ids: list, texts: list[str | None], span: int = SPAN, k: int = K) -> Items:
     data, offsets = ts.utf8(pa.array(texts, pa.large_string()))
     starts, ends, first = ts.spans(ts.ALNUM[data], offsets)
-    words = ts.span_hashes(data, starts, ends, _FOLDED)
+    words = ts.word_hashes(data, starts, ends, _FOLDED)
     at, prints = winnow(words, first, k, span)
     order = np.argsort(prints, kind="stable")
     short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -115,7 +115,7 @@ def _extend(words: np.ndarray, low: np.ndarray, high: np.ndarray, p: np.ndarray,
 def hits(data: np.ndarray, offsets: np.ndarray, items: Items, span: int = SPAN, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """(words a document, hit words a document, distinct pairs of document and item, (starts, ends) of hit byte ranges by word)."""
     starts, ends, first = ts.spans(ts.ALNUM[data], offsets)
-    words = ts.span_hashes(data, starts, ends, _FOLDED)
+    words = ts.word_hashes(data, starts, ends, _FOLDED)
     owner = ts.owners(first)
     cover = np.zeros(len(words) + 1, np.int64)
     found = []

@@ -59,7 +59,7 @@ _FOLDED = ts.byte_weights(True)
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each document."""
     starts, ends, first = ts.spans(ts.SPACED[data], offsets)
-    words = ts.span_hashes(data, starts, ends, _FOLDED)
+    words = ts.word_hashes(data, starts, ends, _FOLDED)
     grams = ts.gram_hashes(words, k)
     out = []
     for a, b in itertools.pairwise(first.tolist()):

@@ -60,7 +60,7 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     mask = ts.SPACED[data]
     starts, ends, first = ts.spans(mask, offsets)
     n = np.diff(first)
-    words = ts.span_hashes(data, starts, ends, _CASED)
+    words = ts.word_hashes(data, starts, ends, _CASED)
     grams = ts.gram_hashes(words, 3)
     ok = np.flatnonzero(ts.inside(first, 3, len(grams)))
     owner = ts.owners(first)
@@ -71,7 +71,7 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     lines, line_ends, line_first = ts.spans(data != 10, offsets)
     has_word = np.searchsorted(starts, line_ends) > np.searchsorted(starts, lines)
     lines, line_ends, line_owner = lines[has_word], line_ends[has_word], ts.owners(line_first)[has_word]
-    _, later = _repeated(ts.span_hashes(data, lines, line_ends, _CASED), line_owner)
+    _, later = _repeated(ts.word_hashes(data, lines, line_ends, _CASED), line_owner)
     size = len(offsets) - 1
     length = ends - starts
     alnum = np.concatenate([[0], np.cumsum(ts.ALNUM[data], dtype=np.int64)])

@@ -13,7 +13,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+#: Text that is scanned at once, but for a longer document.
+CHUNK_BYTES = 512 << 10
+#: Bytes for which word_hashes holds 64-bit sums at once, but for a longer word; beyond it powers aren't kept.
+HASH_BYTES = 256 << 10
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -27,12 +30,14 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def _grow(kind: str, base: np.uint64, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        size = 1 << max(n - 1, 1).bit_length()
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        _powers[kind] = np.multiply.accumulate(steps)
-    return _powers[kind][:n]
+    if len(_powers[kind]) >= n:
+        return _powers[kind][:n]
+    steps = np.full(n if n > 8 * HASH_BYTES else 1 << max(n - 1, 1).bit_length(), base, np.uint64)
+    steps[0] = 1
+    np.multiply.accumulate(steps, out=steps)
+    if n <= 8 * HASH_BYTES:
+        _powers[kind] = steps
+    return steps[:n]
 
 
 def byte_weights(fold_case: bool) -> np.ndarray:
@@ -117,6 +122,17 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights:
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray, limit: int = HASH_BYTES) -> np.ndarray:
+    """As span_hashes, of ascending spans that don't overlap; the sums are held for `limit` bytes at once."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + limit, "right")))
+        base = starts[i]
+        out[i:j] = span_hashes(data[base : ends[j - 1]], starts[i:j] - base, ends[i:j] - base, weights)
+        i = j
+    return out
+
+
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k words from each position; only positions with k words left in the array."""
     n = len(words) - k + 1

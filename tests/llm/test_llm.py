@@ -39,6 +39,15 @@ ODD = [(1, None), (2, ""), (3, "  \n "), (4, "word"), (5, "word"), (6, "x" * 300
 # --- scanning ------------------------------------------------------------------------------------------------------
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aB1 \n\t.é中", max_size=40)), max_size=6), st.integers(1, 40))
+def test_hashes_do_not_depend_on_the_block(texts, limit):
+    data, offsets = textscan.utf8(pa.array(texts, pa.string()))
+    starts, ends, _ = textscan.spans(textscan.SPACED[data], offsets)
+    weights = textscan.byte_weights(True)
+    assert textscan.word_hashes(data, starts, ends, weights, limit).tolist() == textscan.span_hashes(data, starts, ends, weights).tolist()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="aB1 \n\t.é中", max_size=40)), max_size=6))
 def test_spans_are_regex_words(texts):
