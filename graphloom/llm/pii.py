@@ -1,13 +1,15 @@
 """Personal data: base patterns, then a skip-chain conditional random field over the candidates of a document.
 
-Base matches are found by pattern.  Nodes of the field are the base matches and every
+Base matches are found by pattern, and so are secrets: values of 16 signs or more, letters
+and four digits or more among them, that are assigned to a name such as `token` or `key`.
+Secrets are a kind of their own and no base matches.  Nodes of the field are both and every
 other token with an `@` or four digits or more.  Neighbours in the text share chain
-potentials; nodes with the same digits (seven or more) or the same address, however far
+potentials; nodes with the same digits (seven or more), the same address or secret, however far
 apart, share skip potentials.  A repeat is a node only where it is one token: one written
 with spaces, or with another prefix, is not linked.  Loopy sum-product passes messages until the
 labels of a document agree; a token that the patterns miss but that repeats a found
-number or address in another notation gets its label.  Base matches are evidence and
-always stay.
+number, address or secret in another notation or place gets its label.  Matches are
+evidence and always stay.
 
 Weights are learnt by pseudo-likelihood from base labels on about TRAIN_DOCS documents:
 those with the smallest id hashes, of which only lines with candidates are gathered.
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .store import sample_by_hash
 
-KINDS = ("email", "ip", "card", "phone")
-OTHER = len(KINDS)
+KINDS = ("email", "ip", "card", "phone", "secret")
+SECRET, OTHER = KINDS.index("secret"), len(KINDS)
 TRAIN_DOCS = 20_000
 THRESHOLD = 0.9
 CHAIN_GAP = 40
@@ -42,6 +44,9 @@ _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: A name, a sign of assignment and a value without white space.
+_ASSIGNED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passphrase|key)[a-z0-9_-]{0,20}[\"']?[\x20\t]{0,3}(?::=|=>|[=:])[\x20\t]{0,3}[\"']?([a-z0-9_+/=.~-]{16,})")
+_LONG = re.compile(r"[A-Za-z0-9_+/=.~-]{16,}")
 _HINT = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[0-9@]\S*")
 _EDGE = ".,;:!?()[]{}<>\"'"
@@ -86,8 +91,17 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def _mixed(token: str) -> bool:
+    return len(_digits(token)) >= 4 and any(c.isalpha() for c in token)
+
+
+def secrets(text: str) -> list[Span]:
+    """Assigned values that look drawn at random."""
+    return [(SECRET, *m.span(1)) for m in _ASSIGNED.finditer(text) if _mixed(m[1])]
+
+
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Tokens outside all base spans with an `@` or four digits or more, without the signs around them."""
+    """Tokens outside all found spans with an `@` or four digits or more, without the signs around them."""
     taken = sorted((a, b) for _, a, b in base)
     out, done, i, reach = [], 0, 0, 0
     for found in _TOKEN.finditer(text):
@@ -107,7 +121,7 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
     return out
 
 
-FEATURES = 15
+FEATURES = 17
 
 
 def features(token: str) -> np.ndarray:
@@ -119,12 +133,13 @@ def features(token: str) -> np.ndarray:
         1, bool(head and tail), "." in tail, bool(tail) and not tail.strip("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-."),
         token.count(".") == 3 and n >= 4, n < 9, 9 <= n <= 12, 13 <= n <= 15, 16 <= n <= 19, n > 19,
         token[0] == "+", 13 <= n <= 19 and luhn(digits), any(c.isalpha() for c in token), " " in token, "-" in token or "(" in token,
+        secret := bool(_LONG.fullmatch(token)) and _mixed(token), secret and not token.strip("0123456789abcdefABCDEF"),
     ], float)
 
 
 def key_of(token: str) -> str:
-    """What similar tokens have in common: the address in lower case, or all digits."""
-    return token.lower() if "@" in token else _digits(token)
+    """What similar tokens have in common: the address or secret in lower case, or all digits."""
+    return token.lower() if "@" in token or _LONG.fullmatch(token) and _mixed(token) else _digits(token)
 
 
 class Graph:
@@ -222,17 +237,17 @@ Model = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def find(text: str | None, model: Model | None) -> tuple[list[Span], list[Span]]:
-    """(base spans, spans that the field adds)."""
+    """(base spans, secrets and spans that the field adds)."""
     if not text or not _HINT.search(text):
         return [], []
-    base = base_spans(text)
-    free = candidates(text, base)
+    base, more = base_spans(text), secrets(text)
+    free = candidates(text, base + more)
     if not free or model is None:
-        return base, []
-    g = Graph(text, base, free)
+        return base, more
+    g = Graph(text, base + more, free)
     p = marginals(g, *model)
     best = p.argmax(1)
-    return base, [(int(best[i]), a, b) for i, (a, b, k) in enumerate(g.nodes) if k < 0 and best[i] != OTHER and p[i, best[i]] >= THRESHOLD]
+    return base, more + [(int(best[i]), a, b) for i, (a, b, k) in enumerate(g.nodes) if k < 0 and best[i] != OTHER and p[i, best[i]] >= THRESHOLD]
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_docs: int = TRAIN_DOCS) -> Model | None:
@@ -243,12 +258,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_doc
             texts = [_lines(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"])
 
-    hinted = sample_by_hash(docs, id_col, n_docs).select(F.col(text_col).cast("string").alias("t")).where(F.col("t").rlike("[0-9]{4}|@"))
+    hinted = sample_by_hash(docs, id_col, n_docs).select(F.col(text_col).cast("string").alias("t")).where(F.col("t").rlike(r"[0-9]{4}|@|[=:]\s*[\"']?[A-Za-z0-9_+/-]{16}"))
     rows = sorted(hinted.mapInArrow(shapes, "t string").collect())
     graphs = []
     for r in rows:
-        base = base_spans(r["t"])
-        g = Graph(r["t"], base, candidates(r["t"], base))
+        found = base_spans(r["t"]) + secrets(r["t"])
+        g = Graph(r["t"], found, candidates(r["t"], found))
         if len(g.nodes):
             graphs.append(g)
     return fit(graphs) if graphs else None
@@ -264,22 +279,27 @@ def listed(spans: list[Span]) -> str:
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row of docs."""
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_spans) for each row of docs.
+
+    The counts of the first four kinds are of base matches; n_secret and n_spans count `spans`.
+    """
     model = model or train(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digest, spans = [[], [], [], []], [], []
+            n, digest, spans = [[] for _ in range(6)], [], []
             for text in batch.column(1):
                 base, more = find(text.as_py(), model)
                 for k in range(4):
                     n[k].append(sum(s[0] == k for s in base))
+                n[4].append(sum(s[0] == SECRET for s in more))
+                n[5].append(len(base) + len(more))
                 digest.append(hashlib.sha256(listed(base).encode()).hexdigest())
                 spans.append(listed(base + more))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in n), pa.array(digest, pa.string()), pa.array(spans, pa.string())], ["id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in n[:4]), pa.array(digest, pa.string()), pa.array(spans, pa.string()), *(pa.array(c, pa.int64()) for c in n[4:])], ["id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_secret", "n_spans"])
 
-    schema = f"id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
+    schema = f"id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_secret bigint, n_spans bigint"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 

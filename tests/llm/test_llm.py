@@ -264,9 +264,26 @@ def test_field_labels_repeats_in_other_notation(spark):
     assert pii.detect(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_secrets_and_their_repeats(spark):
+    rnd = random.Random(3)
+    drawn = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, f'the token = "{drawn()}" of run {1000 + i}, build {drawn()[:12]}') for i in range(60)]
+    again = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"
+    rows += [(100, f"api_key: {again}\nlater ({again.upper()}) and {'9' * 40}"), (101, f"commit {again}"), (102, "keyboard = mechanical-keyboards-are-loud"), (103, "PASSWORD='x'")]
+    got = {r.doc_id: r for r in pii.detect(documents(spark, rows)).collect()}
+    text = dict(rows)[100]
+    at = text.index(again.upper())
+    assert got[100].spans == f"secret:9:49,secret:{at}:{at + 40}" and (got[100].n_secret, got[100].n_spans) == (2, 2)
+    assert all(got[i].n_secret == 1 and got[i].n_email + got[i].n_ip + got[i].n_card + got[i].n_phone == len(brute_base(t)) for i, t in rows[:60])
+    assert all(got[i].spans == "" for i in (101, 102, 103))
+    masked = {r.doc_id: r.text for r in pii.redact(documents(spark, rows)).collect()}
+    assert again not in masked[100].lower() and "[SECRET]" in masked[0] and masked[101] == dict(rows)[101]
+
+
 def test_long_runs_are_linear():
     text = "1" * 300_000 + " " + "a" * 300_000 + "@" * 1000 + "+" * 1000
     assert pii.base_spans(text) == []
+    assert pii.secrets("key" * 100_000 + "=" + "-" * 300_000) == []
 
 
 # --- WARC ----------------------------------------------------------------------------------------------------------
