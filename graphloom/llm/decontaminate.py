@@ -10,8 +10,10 @@ SPAN words have no full winnowing window: their whole text is looked up by its o
 length, which is exact as well.
 
 The benchmark is the stated query set.  It goes to the executors in blocks of at most
-BLOCK_BYTES of text, each block with its own pass over the documents if there are
-several; so the broadcast is bounded however large the benchmark grows.
+BLOCK_BYTES of text (or one longer item).  One block, the usual case, is one pass without
+a shuffle.  With more, each pass writes its rows with what it found so far, and the next
+reads them; the broadcast of a pass is given up after it, so neither the driver nor a
+worker ever holds more than one block, however large the benchmark grows.
 
 Defined results: null or empty texts have no words, hit nothing and are hit by
 nothing; without items nothing is hit; repeated rows are judged one by one; repeated
@@ -26,10 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
+from .store import saved
 
 SPAN = 10
 K = 5
@@ -112,8 +116,8 @@ def _extend(words: np.ndarray, low: np.ndarray, high: np.ndarray, p: np.ndarray,
     return out[0], out[1]
 
 
-def hits(data: np.ndarray, offsets: np.ndarray, items: Items, span: int = SPAN, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """(words a document, hit words a document, distinct pairs of document and item, (starts, ends) of hit byte ranges by word)."""
+def hits(data: np.ndarray, offsets: np.ndarray, items: Items, span: int = SPAN, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word of each document (n + 1), whether each word is hit, distinct pairs of document and item)."""
     starts, ends, first = ts.spans(ts.ALNUM[data], offsets)
     words = ts.word_hashes(data, starts, ends, _FOLDED)
     owner = ts.owners(first)
@@ -136,10 +140,14 @@ def hits(data: np.ndarray, offsets: np.ndarray, items: Items, span: int = SPAN,
         np.add.at(cover, pos, 1)
         np.add.at(cover, pos + n, -1)
         found.append(np.stack([owner[pos[a]], which[b]], 1))
-    covered = np.cumsum(cover)[:-1] > 0
-    total = np.concatenate([[0], np.cumsum(covered)])
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return np.diff(first), total[first[1:]] - total[first[:-1]], pairs, (starts[covered], ends[covered])
+    return first, np.cumsum(cover)[:-1] > 0, pairs
+
+
+def _in_documents(mask: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many words of each document are marked."""
+    total = np.concatenate([[0], np.cumsum(mask)])
+    return total[first[1:]] - total[first[:-1]]
 
 
 def item_digest(ids: list) -> str:
@@ -147,65 +155,94 @@ def item_digest(ids: list) -> str:
 
 
 def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list, list]]:
-    """The query set in blocks of bounded text, read through the driver one partition at a time."""
+    """The query set in blocks of bounded text, read through the driver one partition at a time; one block at least."""
     ids, texts, size = [], [], 0
     for row in benchmark.select(F.col(id_col), F.col(text_col).cast("string")).toLocalIterator():
-        if size and size + len(row[1] or "") > block_bytes:
+        more = len((row[1] or "").encode())
+        if size and size + more > block_bytes:
             yield ids, texts
             ids, texts, size = [], [], 0
         ids.append(row[0])
         texts.append(row[1])
-        size += len(row[1] or "")
+        size += more
     yield ids, texts
 
 
+def _passes(blocks: Iterator[tuple[list, list]]) -> Iterator[tuple[Items, bool]]:
+    """(fingerprints of a block, whether it is the last)."""
+    held = next(blocks)
+    for block in blocks:
+        yield build_items(*held), False
+        held = block
+    yield build_items(*held), True
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs.
 
-    With one block (the usual case) this is one pass without any shuffle.  With more,
-    the passes return the hit word positions, which are merged by row afterwards.
+    Between passes a row carries its hit words as bits and the names of its items.
     """
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(build_items(*b)) for b in item_blocks(benchmark, item_id, item_text, block_bytes)]
+    context = docs.sparkSession.sparkContext
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("names"))
+    state = f"id {kind}, t string, hit binary, names array<string>"
+    result = f"id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+    for items, last in _passes(item_blocks(benchmark, item_id, item_text, block_bytes)):
+        block = context.broadcast(items)
+        rows = rows.mapInArrow(_judge(block, last), result if last else state)
+        if not last:
+            rows = saved(rows, "decontaminate")
+            block.destroy()
+    return rows.withColumnRenamed("id", id_col)
+
+
+def _judge(block: Broadcast, last: bool):
+    """One pass of `mark`: the rows with what this block adds or, after the last one, the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in ts.chunks(*ts.utf8(batch.column(1))):
-                n, cover, names = None, None, [[] for _ in range(end - first)]
-                for b in blocks:
-                    items = b.value
-                    starts, _, at = ts.spans(ts.ALNUM[data], offsets)
-                    n = np.diff(at)
-                    _, _, pairs, (hit, _) = hits(data, offsets, items)
-                    for d, i in pairs.tolist():
-                        if items.ids[i] is not None:
-                            names[d].append(items.ids[i])
-                    mask = np.zeros(len(starts), bool)
-                    mask[np.searchsorted(starts, hit)] = True
-                    cover = mask if cover is None else cover | mask
-                total = np.concatenate([[0], np.cumsum(cover)])
-                n_hit = total[at[1:]] - total[at[:-1]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array(n.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in names], pa.int64()), pa.array([item_digest(x) for x in names], pa.string()), pa.array(n_hit > 0)],
-                    ["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+            for start, end, data, offsets in ts.chunks(*ts.utf8(batch.column(1))):
+                part = batch.slice(start, end - start)
+                first, hit, pairs = hits(data, offsets, block.value)
+                names = [x or [] for x in part.column(3).to_pylist()]
+                for d, i in pairs.tolist():
+                    if block.value.ids[i] is not None:
+                        names[d].append(str(block.value.ids[i]))
+                for d, bits in enumerate(part.column(2)):
+                    if bits.is_valid:
+                        mine = slice(first[d], first[d + 1])
+                        hit[mine] |= np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=first[d + 1] - first[d]).astype(bool)
+                n_hit = _in_documents(hit, first)
+                if last:
+                    columns = [pa.array(np.diff(first)), pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in names], pa.int64()), pa.array([item_digest(x) for x in names], pa.string()), pa.array(n_hit > 0)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                else:
+                    bits = [np.packbits(hit[a:b]).tobytes() if n else None for a, b, n in zip(first[:-1], first[1:], n_hit, strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bits, pa.binary()), pa.array(names, pa.list_(pa.string()))], ["id", "t", "hit", "names"])
+
+    return run
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text: str = "text", item_id: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs in which no benchmark window occurs, all columns, no shuffle."""
-    blocks = [docs.sparkSession.sparkContext.broadcast(build_items(*b)) for b in item_blocks(benchmark, item_id, item_text, block_bytes)]
     at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clean = np.ones(batch.num_rows, bool)
-            for first, end, data, offsets in ts.chunks(*ts.utf8(batch.column(at))):
-                for b in blocks:
-                    clean[first:end] &= hits(data, offsets, b.value)[1] == 0
-            yield batch.filter(pa.array(clean))
-
-    return docs.mapInArrow(run, docs.schema)
+    def keep(block: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for start, end, data, offsets in ts.chunks(*ts.utf8(batch.column(at))):
+                    first, hit, _ = hits(data, offsets, block.value)
+                    clean[start:end] = _in_documents(hit, first) == 0
+                yield batch.filter(pa.array(clean))
+
+        return run
+
+    schema = docs.schema
+    for items, last in _passes(item_blocks(benchmark, item_id, item_text, block_bytes)):
+        block = docs.sparkSession.sparkContext.broadcast(items)
+        docs = docs.mapInArrow(keep(block), schema)
+        if not last:
+            docs = saved(docs, "decontaminate")
+            block.destroy()
+    return docs
