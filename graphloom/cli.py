@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import evaluate, graph
-from .plans import diagrams, render
+from .plans import behaviour, diagrams, render
 from .sources import comments, files, python_facts, sinks, yaml_facts
 
 
@@ -28,18 +28,23 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         if args.command == "sequence-diagram":
             _show(diagrams.sequence_diagrams(entities, args.max_depth, args.show_returns))
             return 0
-        edges = diagrams.raw_call_edges(entities) if args.command == "call-graph" else diagrams.class_graph(entities)
-        if args.command == "call-graph" and args.root:
-            reached = graph.reachable(edges, spark.createDataFrame([(args.root,)], "node string"), args.max_depth)
-            edges = graph.reachable_edges(edges, reached, args.max_depth)
-        out = diagrams.bundle(edges, None, args.command.replace("-", "_"), args.fan_in_threshold)
+        if args.command == "class-diagram":
+            out = diagrams.class_diagrams(entities, args.fan_in_threshold)
+        else:
+            edges = diagrams.raw_call_edges(entities)
+            if args.root:
+                reached = graph.reachable(edges, spark.createDataFrame([(args.root,)], "node string"), args.max_depth)
+                edges = graph.reachable_edges(edges, reached, args.max_depth)
+            out = diagrams.bundle(edges, None, "call_graph", args.fan_in_threshold)
         if args.output_dir:
             print(sinks.write_files(sinks.placed(out, args.command.replace("-", "_") + "s"), args.output_dir), "files")
         else:
             _show(out.orderBy("shared", "diagram"))
         return 0
     if args.command == "timing":
-        _show(python_facts.facts(src, "timing").orderBy("owner", "ord").select(F.concat_ws(" ", "owner", "ord", "kind", "target", "detail").alias("content")))
+        events = python_facts.facts(src, "timing").where("owner is not null")
+        charts = events.groupBy("owner").agg(F.max("is_async").alias("is_async")).withColumn("diagram", F.col("owner"))
+        _show(behaviour.timing_chart(charts, events.withColumn("diagram", F.col("owner"))).orderBy("diagram"))
         return 0
     if args.command == "use-cases":
         _show(python_facts.facts(src, "inputs").orderBy("line").select(F.concat_ws(" ", "scope", "component", "event", "handler").alias("content")))

@@ -48,8 +48,13 @@ def bundle(edges: DataFrame, nodes: DataFrame | None = None, kind: str = "call_g
     series, hubs = partition.partition(edges, nodes, threshold, min_size)
     series = saved(series, "series")
     regular = render.call_graph(series_edges(edges, series, hubs, series_rule), series.select(F.col("series_root").alias("diagram"), "node"), ["diagram"])
-    placed = regular.join(series.select(F.col("series_root").alias("diagram"), "depth", "parent_root").distinct(), "diagram").withColumn("shared", F.lit(False)).withColumn("relative_dir", names.series_directory("diagram"))
     hub = render.call_graph(hub_edges(edges, hubs, hub_rule), hubs.select(F.col("node").alias("diagram"), "node"), ["diagram"])
+    return _placed(kind, regular, hub, series)
+
+
+def _placed(kind: str, regular: DataFrame, hub: DataFrame, series: DataFrame) -> DataFrame:
+    """The bundle's rows from the contents of its series and hubs."""
+    placed = regular.join(series.select(F.col("series_root").alias("diagram"), "depth", "parent_root").distinct(), "diagram").withColumn("shared", F.lit(False)).withColumn("relative_dir", names.series_directory("diagram"))
     shared = hub.select("diagram", "content", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_root"), F.lit(True).alias("shared"), F.lit("shared").alias("relative_dir"))
     return placed.unionByName(shared).select(F.lit(kind).alias("kind"), "diagram", "shared", "depth", "parent_root", "relative_dir", names.stable_output_name(kind, "diagram").alias("name"), "content")
 
@@ -90,6 +95,30 @@ def class_graph(entities: DataFrame, keys: Sequence[str] = ("module_id",)) -> Da
     return inherits.unionByName(uses).where("caller != callee").distinct()
 
 
+def class_diagrams(entities: DataFrame, threshold: int = 3, min_size: int = 3, plantuml: bool = False) -> DataFrame:
+    """The class diagrams of one module, as `bundle`: classes with their methods, inheritance and uses; bases from elsewhere are external.
+
+    A pair that both inherits and uses counts as two edges where the partition counts rows.
+    """
+    series_rule, hub_rule = RULES["class_diagram"]
+    edges = saved(class_graph(entities, ()), "classes")
+    latest = latest_entities(entities, ())
+    known = latest.where("kind = 'class'").select(F.col("qname").alias("name"), F.lit(False).alias("external"))
+    series, hubs = partition.partition(edges, known.select(F.col("name").alias("node")), threshold, min_size)
+    series = saved(series, "series")
+    methods = latest.where("kind = 'method'").select(F.col("parent").alias("name"), F.col("name").alias("member"), "visibility", F.col("ordinal").alias("pos"))
+
+    def drawn(nodes: DataFrame, relations: DataFrame) -> DataFrame:
+        classes = nodes.join(known, "name", "left").select("diagram", "name", F.coalesce("external", F.lit(True)).alias("external"))
+        members = methods.join(classes.where("not external").select("diagram", "name"), "name")
+        return render.class_diagram(classes, members, relations, plantuml, ["diagram"])
+
+    regular = drawn(series.select(F.col("series_root").alias("diagram"), F.col("node").alias("name")), series_edges(edges, series, hubs, series_rule))
+    incoming = hub_edges(edges, hubs, hub_rule)
+    around = hubs.select(F.col("node").alias("diagram"), F.col("node").alias("name")).unionByName(incoming.select("diagram", F.col("caller").alias("name"))).distinct()
+    return _placed("class_diagram", regular, drawn(around, incoming), series)
+
+
 def responsibilities(entities: DataFrame, keys: Sequence[str] = ("module_id",)) -> DataFrame:
     """(keys, class_name, responsibility): by docstring or the family of the methods."""
     keys = list(keys)

@@ -85,15 +85,16 @@ def state_diagram(transitions: DataFrame, initial: DataFrame, terminal: DataFram
     return fold(rows, ["a", "b", "c"], keys=keys)
 
 
-def class_diagram(classes: DataFrame, members: DataFrame, relations: DataFrame, plantuml: bool = False) -> DataFrame:
-    """classes (name, external), members (name, member, visibility, pos), relations (caller, callee, relation)."""
+def class_diagram(classes: DataFrame, members: DataFrame, relations: DataFrame, plantuml: bool = False, keys: Sequence[str] = ()) -> DataFrame:
+    """classes (keys, name, external), members (name, member, visibility, pos), relations (caller, callee, relation)."""
     mark = F.when(F.col("visibility") == "private", F.lit("-")).when(F.col("visibility") == "protected", F.lit("#")).otherwise(F.lit("+"))
     none = F.lit("")
     ident = lambda c: hashed_id("c_", c)
-    head = classes.sparkSession.range(1)
+    keys = list(keys)
+    head = classes.select(*keys).distinct() if keys else classes.sparkSession.range(1)
     top, bottom = ("@startuml", "@enduml") if plantuml else ("classDiagram", None)
     opened = F.concat(F.lit("class \"" if plantuml else "    class "), quoted("name") if plantuml else ident("name"), F.concat(F.lit('" as '), ident("name"), F.when(F.col("external"), F.lit(" <<external>>")).otherwise(none)) if plantuml else F.concat(F.lit('["'), quoted("name"), F.lit('"]')), F.lit(" {"))
-    order = lambda a, b, c, k, text: [F.lit(a).alias("a"), b.alias("b"), F.lit(c).alias("c"), k.cast("long").alias("d"), text.alias("line")]
+    order = lambda a, b, c, k, text: [*keys, F.lit(a).alias("a"), b.alias("b"), F.lit(c).alias("c"), k.cast("long").alias("d"), text.alias("line")]
     zero = F.lit(0)
     rows = head.select(*order(0, none, 0, zero, F.lit(top)))
     rows = rows.unionByName(classes.select(*order(1, F.col("name"), 0, zero, opened))).unionByName(classes.select(*order(1, F.col("name"), 2, zero, F.lit("}" if plantuml else "    }"))))
@@ -102,7 +103,7 @@ def class_diagram(classes: DataFrame, members: DataFrame, relations: DataFrame,
     rows = rows.unionByName(relations.select(*order(2, F.concat("caller", F.lit("\u0001"), "callee", F.lit("\u0001"), "relation"), 0, zero, F.concat(F.lit("" if plantuml else "    "), link))))
     if bottom:
         rows = rows.unionByName(head.select(*order(3, none, 0, zero, F.lit(bottom))))
-    return fold(rows, ["a", "b", "c", "d"])
+    return fold(rows, ["a", "b", "c", "d"], keys=keys)
 
 
 def marked_graph(edges: DataFrame, nodes: DataFrame, marks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

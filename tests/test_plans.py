@@ -84,3 +84,13 @@ def test_cli_ci(spark, tmp_path, capsys):
     (tmp_path / "ci.yml").write_text("jobs:\n  b:\n    steps:\n      - run: make package\n")
     args = cli.parser().parse_args(["ci", str(tmp_path / "ci.yml"), "--check"])
     assert cli.run(spark, args) == 1 and "missing-test" in capsys.readouterr().out
+
+
+def test_class_diagrams_show_relations_and_methods(spark):
+    source = "class A(Ext):\n def m(self): B()\n def _p(self): pass\nclass B: pass\nclass C(B):\n def c(self): B()\nclass D(B): pass\n"
+    entities = python_facts.facts(spark.createDataFrame([("m", source)], "module_id string, source string"), "entities")
+    out = {r.diagram: r for r in diagrams.class_diagrams(entities).collect()}
+    shared = out["B"].content.split("\n")
+    assert out["B"].shared and shared[0] == "classDiagram" and sum("<|--" in x for x in shared) == 2 and sum("..>" in x for x in shared) == 2
+    own = out["A"].content
+    assert not out["A"].shared and "+m()" in own and "_p()" in own and own.count("<|--") == 1 and '"Ext"' in own
