@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of 8-byte ids that may be broadcast; beyond that the same join is shuffled.
-BROADCAST_IDS = 2_000_000
+from ..operators.store import saved, shared_dir
 
+__all__ = ["file_system", "only_ids", "plan_bytes", "sample_by_hash", "saved", "shared_dir", "spread", "without_ids"]
 
-def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors see; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            base = held.get()
-        else:
-            base = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """df written once to the shared folder and read back: lineage ends here, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = shared_dir(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows of 8-byte ids that may be broadcast; beyond that the same join is shuffled.
+BROADCAST_IDS = 2_000_000
 
 
 def _ids(df: DataFrame, ids: DataFrame, column: str, how: str, count: int | None) -> DataFrame:
