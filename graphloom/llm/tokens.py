@@ -31,7 +31,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from . import textscan as ts
 
-KEY_WORDS, MAX_CHUNKS, STEP = 4, 1 << 20, 1 << 16
+KEY_WORDS, MAX_CHUNKS, STEP = 4, 1 << 19, 1 << 15
 KEY_BYTES = 8 * KEY_WORDS
 #: Text that is encoded together.
 TEXT_BYTES = 1 << 20
