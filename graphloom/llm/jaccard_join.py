@@ -51,6 +51,8 @@ BLOCK_ENTRIES, BLOCK_DOCS, RANGE_BYTES = 2_000_000, 60_000, 8 << 20
 FREQUENT, MAX_FREQUENT = 48, 500_000
 #: Light sets have at most so many shingles, whatever the cost model says.
 MAX_LIGHT = 10
+#: Hashes of sets whose prefixes are taken at once, but for a larger set.
+KEY_VALUES = 1 << 18
 STAR_ROUNDS = 2
 
 _FOLDED = ts.byte_weights(True)
@@ -212,8 +214,9 @@ def _answer(bits: int):
                     out.append((name, "shared", np.stack([pairs[a:b] & 0xFFFF, n[a:b]]).astype("<u4").tobytes()))
             often = times >= FREQUENT
             top = ranked[edge[:-1][often]].astype(np.uint64) | np.uint64(int(rows.bucket.iloc[0])) << np.uint64(32)
+            most = np.argsort(times[often], kind="stable")[::-1][: max(1, 2 * MAX_FREQUENT >> bits)]
             if len(top):
-                out.append(("", "frequent", np.stack([top, times[often].astype(np.uint64)]).tobytes()))
+                out.append(("", "frequent", np.stack([top[most], times[often][most].astype(np.uint64)]).tobytes()))
             out.append(("", "lists", np.array([times[times > 1].sum(), (times > 1).sum()], np.int64).tobytes()))
         return pd.DataFrame(out, columns=["block", "kind", "data"])
 
@@ -247,30 +250,52 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), h], ["id", "n", "s1", "s2", "h"])
 
 
+def prefixes(h: np.ndarray, n: np.ndarray, bits: int, often: np.ndarray) -> np.ndarray:
+    """The prefixes of sets that lie in a row, n values each in ascending order: rare sampled hashes first, then the
+    unsampled, then those in `often` (ascending), each by value.
+
+    One search and one sort for all sets: a set costs its own size, however many hashes are frequent.
+    """
+    who = np.repeat(np.arange(len(n)), n)
+    rank = np.ones(len(h), np.int64)
+    sampled = np.flatnonzero(h >> np.uint64(63) == 0)
+    rank[sampled] = 0
+    if len(often):
+        short = h[sampled] >> np.uint64(31 - bits)
+        rank[sampled[often[np.minimum(np.searchsorted(often, short), len(often) - 1)] == short]] = 2
+    place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    return h[np.argsort(who * 3 + rank, kind="stable")[place < prefix_length(n)[who]]]
+
+
 def _keys(bits: int, limit: int, frequent):
     """List keys of each set: subsets of light sets, the prefix of heavy ones.  Kind 0: heavy list; else the smaller size of a light pair."""
 
+    def some(ids: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        heavy = sizes > limit
+        kept = sizes[heavy]
+        lengths = prefix_length(kept)
+        key, who = [prefixes(values[np.repeat(heavy, sizes)], kept, bits, frequent.value)], [np.repeat(ids[heavy], lengths)]
+        size, kind = [np.repeat(kept, lengths)], [np.zeros(int(lengths.sum()), np.int32)]
+        first = np.cumsum(sizes) - sizes
+        for i in np.flatnonzero(-(-NUM * sizes // DEN) <= limit).tolist():
+            for found, small in light_keys(values[first[i] : first[i] + sizes[i]], limit):
+                key.append(found)
+                who.append(np.full(len(found), ids[i]))
+                size.append(np.full(len(found), sizes[i]))
+                kind.append(np.full(len(found), small, np.int32))
+        columns = [np.concatenate(key).view(np.int64), np.concatenate(who), np.concatenate(size).astype(np.int32), np.concatenate(kind)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "n", "kind"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = frequent.value
         for batch in batches:
-            key, who, size, kind = [], [], [], []
+            ids, sizes = np.asarray(batch.column(0)).astype(np.int64), np.asarray(batch.column(1)).astype(np.int64)
             values = np.asarray(batch.column(2).flatten()).view(np.uint64)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
             at = 0
-            for i, (x, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                h = values[at : at + n]
-                at += n
-                lists = light_keys(h, limit) if partner_sizes(n)[0] <= limit else []
-                if n > limit:
-                    sampled = h >> np.uint64(63) == 0
-                    rank = np.where(sampled, np.isin(h >> np.uint64(31 - bits), often).astype(int) * 2, 1)
-                    lists.append((h[np.lexsort((h, rank))[: prefix_length(n)]], 0))
-                for found, small in lists:
-                    key.append(found)
-                    who.append(np.full(len(found), x))
-                    size.append(np.full(len(found), n))
-                    kind.append(np.full(len(found), small))
-            cat = lambda v, t: pa.array(np.concatenate(v).astype(t) if v else np.zeros(0, t))
-            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(key) if key else np.zeros(0, np.uint64)).view(np.int64)), cat(who, np.int64), cat(size, np.int32), cat(kind, np.int32)], ["key", "id", "n", "kind"])
+            while at < len(ids):
+                end = max(at + 1, int(np.searchsorted(ends, ends[at] + KEY_VALUES, "right")) - 1)
+                yield some(ids[at:end], sizes[at:end], values[ends[at] : ends[end]])
+                at = end
 
     return run
 
@@ -374,10 +399,10 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits = min(max(6, (size // RANGE_BYTES).bit_length()), 14)
     answers = saved(rows.mapInArrow(_send(bits), _SENT).groupBy("bucket").applyInPandas(_answer(bits), "block string, kind string, data binary"), "ranges")
     told = saved(answers.where("kind in ('table', 'shared')").groupBy("block").applyInPandas(_survive, "id bigint, n bigint, alive boolean"), "sizes")
-    top = answers.where("kind = 'frequent'").select("data").toLocalIterator()
-    often = np.concatenate([np.frombuffer(r[0], np.uint64).reshape(2, -1) for r in top] or [np.zeros((2, 0), np.uint64)], axis=1)
+    facts = answers.where("kind in ('frequent', 'lists')").select("kind", "data").collect()
+    often = np.concatenate([np.zeros((2, 0), np.uint64), *(np.frombuffer(r.data, np.uint64).reshape(2, -1) for r in facts if r.kind == "frequent")], axis=1)
     often = often[0][np.argsort(often[1], kind="stable")[::-1][:MAX_FREQUENT]]
-    lists = sum((np.frombuffer(r[0], np.int64) for r in answers.where("kind = 'lists'").select("data").toLocalIterator()), np.zeros(2, np.int64))
+    lists = sum((np.frombuffer(r.data, np.int64) for r in facts if r.kind == "lists"), np.zeros(2, np.int64))
     limit = light_limit(lists[0] / max(lists[1], 1))
 
     alive = told.where("alive").select("id").distinct()
