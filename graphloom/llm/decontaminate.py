@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from .workers import tidy
 from pyspark.sql import functions as F
 
 from . import textscan as ts
@@ -241,7 +242,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     schema = docs.schema
     for items, last in _passes(item_blocks(benchmark, item_id, item_text, block_bytes)):
         block = docs.sparkSession.sparkContext.broadcast(items)
-        docs = docs.mapInArrow(keep(block), schema)
+        docs = docs.mapInArrow(tidy(keep(block)), schema)
         if not last:
             docs = saved(docs, "decontaminate")
             block.destroy()

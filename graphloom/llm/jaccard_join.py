@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from . import textscan as ts
 from .components import components
 from .store import only_ids, plan_bytes, saved, without_ids
+from .workers import tidy, tidy_group
 
 SHINGLE = 5
 #: Jaccard of NUM / DEN or more.
@@ -54,6 +55,7 @@ MAX_LIGHT = 10
 #: Hashes of sets whose prefixes are taken at once, but for a larger set.
 KEY_VALUES = 1 << 18
 STAR_ROUNDS = 2
+TOP = np.uint64(1 << 63)
 
 _FOLDED = ts.byte_weights(True)
 
@@ -136,13 +138,10 @@ _SENT = "bucket int, block string, kind string, data binary"
 def _send(bits: int):
     """Blocks of (id, text) rows as packed hashes by range, and for each block its table of ids and set sizes."""
 
-    def block(name: str, ids: list, sets: list[np.ndarray]) -> Iterator[tuple[int, str, str, bytes]]:
-        sizes = np.array([len(s) for s in sets], np.int64)
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        who = np.repeat(np.arange(len(sets)), sizes)
-        kept = flat >> np.uint64(63) == 0
-        flat, who = flat[kept], who[kept]
-        sampled = np.bincount(who, minlength=len(sets))
+    def block(name: str, ids: list, sizes: np.ndarray, halves: list[np.ndarray]) -> Iterator[tuple[int, str, str, bytes]]:
+        sampled = np.array([len(s) for s in halves], np.int64)
+        flat = np.concatenate(halves)
+        who = np.repeat(np.arange(len(halves), dtype=np.uint16), sampled)
         order = np.argsort(flat)
         flat, who = flat[order], who[order]
         bucket = (flat >> np.uint64(63 - bits)).astype(np.int64)
@@ -158,13 +157,14 @@ def _send(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial = TaskContext.get().partitionId(), 0
         ids: list = []
-        sets: list[np.ndarray] = []
+        sizes: list[int] = []
+        halves: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal serial, ids, sets, held
-            rows = list(block(f"{part}-{serial}", ids, sets))
-            serial, ids, sets, held = serial + 1, [], [], 0
+            nonlocal serial, ids, sizes, halves, held
+            rows = list(block(f"{part}-{serial}", ids, np.array(sizes, np.int64), halves))
+            serial, ids, sizes, halves, held = serial + 1, [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.string(), pa.binary()), strict=True)], ["bucket", "block", "kind", "data"])
 
         for batch in batches:
@@ -174,7 +174,9 @@ def _send(bits: int):
                 step = BLOCK_DOCS // 2
                 for at in range(0, len(more), step):
                     ids += names[at : at + step]
-                    sets += more[at : at + step]
+                    sizes += map(len, more[at : at + step])
+                    # sets ascend, so the half with top bit 0 comes first
+                    halves += [s[: np.searchsorted(s, TOP)].copy() for s in more[at : at + step]]
                     held += sum(map(len, more[at : at + step]))
                     if held >= BLOCK_ENTRIES or len(ids) >= step:
                         yield flush()
@@ -397,7 +399,7 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("t"))
     size = plan_bytes(docs)
     bits = min(max(6, (size // RANGE_BYTES).bit_length()), 14)
-    answers = saved(rows.mapInArrow(_send(bits), _SENT).groupBy("bucket").applyInPandas(_answer(bits), "block string, kind string, data binary"), "ranges")
+    answers = saved(rows.mapInArrow(tidy(_send(bits)), _SENT).groupBy("bucket").applyInPandas(tidy_group(_answer(bits)), "block string, kind string, data binary"), "ranges")
     told = saved(answers.where("kind in ('table', 'shared')").groupBy("block").applyInPandas(_survive, "id bigint, n bigint, alive boolean"), "sizes")
     facts = answers.where("kind in ('frequent', 'lists')").select("kind", "data").collect()
     often = np.concatenate([np.zeros((2, 0), np.uint64), *(np.frombuffer(r.data, np.uint64).reshape(2, -1) for r in facts if r.kind == "frequent")], axis=1)
@@ -406,12 +408,12 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     limit = light_limit(lists[0] / max(lists[1], 1))
 
     alive = told.where("alive").select("id").distinct()
-    sets = saved(only_ids(rows, alive, "id").mapInArrow(_sets, "id bigint, n int, s1 bigint, s2 bigint, h array<bigint>"), "sets")
+    sets = saved(only_ids(rows, alive, "id").mapInArrow(tidy(_sets), "id bigint, n int, s1 bigint, s2 bigint, h array<bigint>"), "sets")
     classes = sets.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
     member = saved(sets.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select("id", "rep").distinct(), "classes")
     reps = only_ids(sets, member.where("id = rep").select("id").distinct(), "id").dropDuplicates(["id", "n", "s1", "s2"])
     reps = saved(reps.select("id", "n", "h"), "reps")
-    keys = saved(reps.mapInArrow(_keys(bits, limit, spark.sparkContext.broadcast(np.sort(often))), "key bigint, id bigint, n int, kind int"), "keys")
+    keys = saved(reps.mapInArrow(tidy(_keys(bits, limit, spark.sparkContext.broadcast(np.sort(often)))), "key bigint, id bigint, n int, kind int"), "keys")
     links, comp = _links(keys, reps)
     linked = member.where("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     # a copy's representative may itself point at a component

@@ -34,6 +34,7 @@ from .store import sample_by_hash
 KINDS = ("email", "ip", "card", "phone", "secret")
 SECRET, OTHER = KINDS.index("secret"), len(KINDS)
 TRAIN_DOCS = 20_000
+from .workers import tidy
 THRESHOLD = 0.9
 CHAIN_GAP = 40
 ROUNDS, DAMPING = 30, 0.3
@@ -259,7 +260,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_doc
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"])
 
     hinted = sample_by_hash(docs, id_col, n_docs).select(F.col(text_col).cast("string").alias("t")).where(F.col("t").rlike(r"[0-9]{4}|@|[=:]\s*[\"']?[A-Za-z0-9_+/-]{16}"))
-    rows = sorted(hinted.mapInArrow(shapes, "t string").collect())
+    rows = sorted(hinted.mapInArrow(tidy(shapes), "t string").collect())
     graphs = []
     for r in rows:
         found = base_spans(r["t"]) + secrets(r["t"])
@@ -336,4 +337,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

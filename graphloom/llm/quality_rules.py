@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from . import textscan as ts
 from .store import saved
+from .workers import tidy
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MIN_WORDS = 50
@@ -219,7 +220,7 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_scan(batch.column(0))[1])], ["pattern"])
 
-    model = fit(*pattern_counts(docs.select(F.col(text_col).cast("string")).mapInArrow(vote, "pattern bigint")))
+    model = fit(*pattern_counts(docs.select(F.col(text_col).cast("string")).mapInArrow(tidy(vote), "pattern bigint")))
     kept = np.array(sorted(k for k, p in model.items() if p >= KEEP), np.int64)
     at = docs.columns.index(text_col)
 
@@ -228,4 +229,4 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
             c, pattern = _scan(batch.column(at))
             yield batch.filter(pa.array(np.isin(pattern, kept) & ~_base_failed(c)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

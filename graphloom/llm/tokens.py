@@ -273,6 +273,11 @@ def encoder(path: str) -> Encoder:
     return _open[path]
 
 
+def close() -> None:
+    """Gives up this worker's encoders; they are made again when needed."""
+    _open.clear()
+
+
 def encode_column(column: pa.Array, path: str, end_id: int) -> Iterator[np.ndarray]:
     """The ids of each text with end_id after them; nulls are empty.  About TEXT_BYTES of text are in work at once."""
     for _, _, data, offsets in ts.chunks(*ts.utf8(column), TEXT_BYTES):
