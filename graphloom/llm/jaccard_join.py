@@ -6,7 +6,8 @@
    hashes also occur elsewhere.  A document with a partner at Jaccard T misses at most
    (1 - T) of its set in it, so a document with more lonely hashes than that has no
    partner; most documents end here, none with a link.
-2. The rest are read again; equal sets collapse to the smallest id (their class).
+2. Equal sets of the rest collapse to the smallest id (their class) by size and two sums that
+   the first pass took; only the classes' texts are read again.
 3. Light sets (up to a size chosen by cost) enumerate, for each size of a possible
    partner, their subsets of the overlap that the pair needs: sharing one *is* a link.
    Heavy sets put their rarest hashes on inverted lists: the first n - ceil(T n) + 1 in
@@ -77,6 +78,19 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> lis
     return out
 
 
+def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums over the hashes of each set; sets with equal sizes and sums are equal."""
+    out = np.zeros((2, len(sets)), np.uint64)
+    n = np.array([len(s) for s in sets], np.int64)
+    some = np.flatnonzero(n)
+    if len(some):
+        flat = np.concatenate(sets)
+        first = (np.cumsum(n) - n)[some]
+        out[0, some] = np.add.reduceat(ts.mix(flat), first)
+        out[1, some] = np.bitwise_xor.reduceat(flat * np.uint64(0xD1B54A32D192ED03) ^ flat >> np.uint64(17), first)
+    return out[0], out[1]
+
+
 def overlap_needed(a: int, b: int) -> int:
     """Smallest intersection of sets of a and b elements with DEN * i >= NUM * (a + b - i)."""
     return -(-NUM * (a + b) // (NUM + DEN))
@@ -136,9 +150,9 @@ _SENT = "bucket int, block string, kind string, data binary"
 
 
 def _send(bits: int):
-    """Blocks of (id, text) rows as packed hashes by range, and for each block its table of ids and set sizes."""
+    """Blocks of (id, text) rows as packed hashes by range, and for each block its table of ids, set sizes and fingerprints."""
 
-    def block(name: str, ids: list, sizes: np.ndarray, halves: list[np.ndarray]) -> Iterator[tuple[int, str, str, bytes]]:
+    def block(name: str, ids: list, sizes: np.ndarray, sums: np.ndarray, halves: list[np.ndarray]) -> Iterator[tuple[int, str, str, bytes]]:
         sampled = np.array([len(s) for s in halves], np.int64)
         flat = np.concatenate(halves)
         who = np.repeat(np.arange(len(halves), dtype=np.uint16), sampled)
@@ -151,20 +165,21 @@ def _send(bits: int):
             yield int(bucket[a]), name, "hashes", _pack(key[a:b], who[a:b])
         at = int(ts.mix(np.array([hash_name(name)], np.uint64))[0] >> np.uint64(64 - bits))
         known = np.array([x is not None for x in ids])
-        table = np.stack([np.array([x or 0 for x in ids], np.int64), known.astype(np.int64), sizes, sampled])
+        table = np.stack([np.array([x or 0 for x in ids], np.int64), known.astype(np.int64), sizes, sampled, *sums.view(np.int64)])
         yield at, name, "table", zstandard.compress(table.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial = TaskContext.get().partitionId(), 0
         ids: list = []
         sizes: list[int] = []
+        sums: list[np.ndarray] = []
         halves: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal serial, ids, sizes, halves, held
-            rows = list(block(f"{part}-{serial}", ids, np.array(sizes, np.int64), halves))
-            serial, ids, sizes, halves, held = serial + 1, [], [], [], 0
+            nonlocal serial, ids, sizes, sums, halves, held
+            rows = list(block(f"{part}-{serial}", ids, np.array(sizes, np.int64), np.concatenate(sums, axis=1), halves))
+            serial, ids, sizes, sums, halves, held = serial + 1, [], [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.string(), pa.binary()), strict=True)], ["bucket", "block", "kind", "data"])
 
         for batch in batches:
@@ -175,6 +190,7 @@ def _send(bits: int):
                 for at in range(0, len(more), step):
                     ids += names[at : at + step]
                     sizes += map(len, more[at : at + step])
+                    sums.append(np.stack(fingerprints(more[at : at + step])))
                     # sets ascend, so the half with top bit 0 comes first
                     halves += [s[: np.searchsorted(s, TOP)].copy() for s in more[at : at + step]]
                     held += sum(map(len, more[at : at + step]))
@@ -226,17 +242,17 @@ def _answer(bits: int):
 
 
 def _survive(rows: pd.DataFrame) -> pd.DataFrame:
-    """For one block: its documents, their set sizes, and whether they can have a partner."""
-    table = np.frombuffer(zstandard.decompress(rows.data[rows.kind == "table"].iloc[0]), np.int64).reshape(4, -1)
+    """For one block: its documents, their set sizes and fingerprints, and whether they can have a partner."""
+    table = np.frombuffer(zstandard.decompress(rows.data[rows.kind == "table"].iloc[0]), np.int64).reshape(6, -1)
     shared = np.zeros(table.shape[1], np.int64)
     for blob in rows.data[rows.kind == "shared"]:
         who, n = np.frombuffer(blob, "<u4").reshape(2, -1)
         np.add.at(shared, who.astype(np.int64), n.astype(np.int64))
-    ids, known, size, sampled = table
+    ids, known, size, sampled, s1, s2 = table
     alive = (size > 0) & (known > 0) & (shared >= sampled - (size - -(-NUM * size // DEN)))
     names = pd.array(ids, "Int64")
     names[known == 0] = pd.NA
-    return pd.DataFrame({"id": names, "n": size, "alive": alive})
+    return pd.DataFrame({"id": names, "n": size, "alive": alive, "s1": s1, "s2": s2})
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,8 +261,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = shingle_sets(data, offsets)
             n = np.array([len(s) for s in sets], np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            s1 = np.array([ts.mix(s).sum() for s in sets], np.uint64)
-            s2 = np.array([np.bitwise_xor.reduce(s * np.uint64(0xD1B54A32D192ED03) ^ s >> np.uint64(17)) for s in sets], np.uint64)
+            s1, s2 = fingerprints(sets)
             ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             h = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), h], ["id", "n", "s1", "s2", "h"])
@@ -316,7 +331,7 @@ def _compatible(a: str, b: str) -> F.Column:
 
 def _open_lists(keys: DataFrame, comp: DataFrame) -> DataFrame:
     """The heavy lists that hold several components, with the component (c) of each member."""
-    held = keys.where("kind = 0").join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    held = keys.select("key", "id", "n", "kind").where("kind = 0").join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     mixed = held.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("key")
     return saved(held.join(mixed, "key").select("key", "id", "n", "kind", "c"), "lists")
 
@@ -337,6 +352,23 @@ def _stars(lists: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.greatest("id", F.col("m.id")).alias("u"), F.least("id", F.col("m.id")).alias("v")).distinct()
 
 
+def _with_room(listed: DataFrame) -> DataFrame:
+    """The rows (id, n, size, c1, c2, p, t) of classes on lists that can have a partner of another component on the same list.
+
+    A set of n hashes, size of them left, has room for partners of up to (NUM + DEN) * size / NUM - n hashes, and its
+    partner must have room for it; so per list the smallest set and the most room among other components decide.
+    Without this a group of near copies meets all of itself on each of its hashes.
+    """
+    room = F.lit(NUM + DEN) * F.col("size") - F.lit(NUM) * F.col("n")
+    # a class of several components is one of its own
+    rows = listed.withColumn("lab", F.struct(F.expr("c1 = c2").alias("one"), F.expr("if(c1 = c2, c1, id)").alias("who"))).withColumn("room", room)
+    labs = rows.groupBy("t", "lab").agg(F.min("n").alias("low"), F.max("room").alias("most"))
+    best = labs.groupBy("t").agg(F.min(F.struct("low", "lab")).alias("x"), F.max(F.struct("most", "lab")).alias("y"), F.count("*").alias("k")).where("k > 1").drop("k")
+    other = labs.join(best, "t").groupBy("t").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.min(F.expr("if(lab = x.lab, null, low)")).alias("low"), F.max(F.expr("if(lab = y.lab, null, most)")).alias("most"))
+    bounds = rows.join(other, "t").where(F.lit(NUM) * F.expr("if(lab = x.lab, low, x.low)") <= F.col("room")).where(F.lit(NUM) * F.col("n") <= F.expr("if(lab = y.lab, most, y.most)"))
+    return bounds.select(*listed.columns)
+
+
 def _cross_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) that join all components which any links across them would join.
 
@@ -359,6 +391,7 @@ def _cross_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
     cls = saved(cls.select("k1", "k2", "size", F.col("m.id").alias("id"), F.col("m.n").alias("n"), "c1", "c2", "g"), "classes")
     need = F.ceil(F.lit(NUM) * F.col("n") / F.lit(DEN)).cast("int")
     listed = cls.select("id", "n", "size", "c1", "c2", F.posexplode(F.slice("g", F.lit(1), F.col("size") - need + 1)).alias("p", "t")).withColumn("size", F.col("size") - F.col("p"))
+    listed = saved(_with_room(listed), "roomy")
     a, b = (listed.select("t", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "size", "c1", "c2"))) for x in "ab")
     # At the first common hash of a pair only it and what follows can be common; the row of that hash is enough.
     room = (F.lit(NUM + DEN) * F.least("size_a", "size_b") >= F.lit(NUM) * (F.col("n_a") + F.col("n_b"))) & _compatible("n_a", "n_b")
@@ -378,15 +411,18 @@ def _cross_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
 def _links(keys: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links, components) of all sets: rounds of verified stars, then what may still link across components."""
     links = comp = None
+    lists = keys
     for turn in range(STAR_ROUNDS):
-        lists = keys if not turn else _open_lists(keys, comp)
+        # components only grow, so a list that is closed stays so
+        lists = keys if not turn else _open_lists(lists, comp)
         pairs = saved(_stars(lists, turn), "pairs")
         new = saved(_verified(pairs, sets), "links")
         if turn and new.isEmpty():
             break
         links = new if links is None else links.union(new)
         comp = components(links)
-    lists = _open_lists(keys, comp)
+    else:
+        lists = _open_lists(lists, comp)
     if not lists.isEmpty():
         links = links.union(_cross_links(lists, sets))
         comp = components(links)
@@ -400,19 +436,21 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = plan_bytes(docs)
     bits = min(max(6, (size // RANGE_BYTES).bit_length()), 14)
     answers = saved(rows.mapInArrow(tidy(_send(bits)), _SENT).groupBy("bucket").applyInPandas(tidy_group(_answer(bits)), "block string, kind string, data binary"), "ranges")
-    told = saved(answers.where("kind in ('table', 'shared')").groupBy("block").applyInPandas(_survive, "id bigint, n bigint, alive boolean"), "sizes")
+    told = saved(answers.where("kind in ('table', 'shared')").groupBy("block").applyInPandas(_survive, "id bigint, n bigint, alive boolean, s1 bigint, s2 bigint"), "sizes")
     facts = answers.where("kind in ('frequent', 'lists')").select("kind", "data").collect()
     often = np.concatenate([np.zeros((2, 0), np.uint64), *(np.frombuffer(r.data, np.uint64).reshape(2, -1) for r in facts if r.kind == "frequent")], axis=1)
     often = often[0][np.argsort(often[1], kind="stable")[::-1][:MAX_FREQUENT]]
     lists = sum((np.frombuffer(r.data, np.int64) for r in facts if r.kind == "lists"), np.zeros(2, np.int64))
     limit = light_limit(lists[0] / max(lists[1], 1))
 
-    alive = told.where("alive").select("id").distinct()
-    sets = saved(only_ids(rows, alive, "id").mapInArrow(tidy(_sets), "id bigint, n int, s1 bigint, s2 bigint, h array<bigint>"), "sets")
-    classes = sets.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    member = saved(sets.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select("id", "rep").distinct(), "classes")
-    reps = only_ids(sets, member.where("id = rep").select("id").distinct(), "id").dropDuplicates(["id", "n", "s1", "s2"])
-    reps = saved(reps.select("id", "n", "h"), "reps")
+    alive = told.where("alive").select("id", "n", "s1", "s2")
+    classes = alive.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
+    member = saved(alive.join(classes, ["n", "s1", "s2"]).select("id", "rep").distinct(), "classes")
+    chosen = member.where("id = rep").select("id")
+    reps = saved(only_ids(rows, chosen, "id").mapInArrow(tidy(_sets), "id bigint, n int, s1 bigint, s2 bigint, h array<bigint>"), "sets")
+    if reps.count() > chosen.count():  # ids repeat
+        reps = saved(reps.dropDuplicates(["id", "n", "s1", "s2"]), "reps")
+    reps = reps.select("id", "n", "h")
     keys = saved(reps.mapInArrow(tidy(_keys(bits, limit, spark.sparkContext.broadcast(np.sort(often)))), "key bigint, id bigint, n int, kind int"), "keys")
     links, comp = _links(keys, reps)
     linked = member.where("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
