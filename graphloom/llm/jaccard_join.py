@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import textscan as ts
 from .components import components
-from .store import only_ids, plan_bytes, saved, without_ids
+from .store import BROADCAST_IDS, only_ids, plan_bytes, saved, without_ids
 from .workers import tidy, tidy_group
 
 SHINGLE = 5
@@ -55,6 +55,8 @@ FREQUENT, MAX_FREQUENT = 48, 500_000
 MAX_LIGHT = 10
 #: Hashes of sets whose prefixes are taken at once, but for a larger set.
 KEY_VALUES = 1 << 18
+#: Hashes that a block of open sets sends at once, and that a range of them answers for.
+OPEN_VALUES = 1 << 20
 STAR_ROUNDS = 2
 TOP = np.uint64(1 << 63)
 
@@ -369,6 +371,100 @@ def _with_room(listed: DataFrame) -> DataFrame:
     return bounds.select(*listed.columns)
 
 
+def _send_open(bits: int):
+    """Blocks of (id, n, c, h) rows as sorted hashes by range, each with its set and component, and each block's table of sets."""
+
+    def block(name: str, held: list[np.ndarray], flat: np.ndarray) -> Iterator[tuple[int, str, str, bytes]]:
+        table = np.concatenate(held, axis=1)
+        who = np.repeat(np.arange(table.shape[1], dtype=np.uint16), table[1])
+        order = np.argsort(flat)
+        flat, who = flat[order], who[order]
+        bucket = (flat >> np.uint64(64 - bits)).astype(np.int64)
+        edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << bits))
+        for a, b in itertools.pairwise(edge.tolist()):
+            data = flat[a:b].tobytes() + table[2][who[a:b]].tobytes() + who[a:b].tobytes()
+            yield int(bucket[a]), name, "hashes", zstandard.compress(data, 1)
+        at = int(ts.mix(np.array([hash_name(name)], np.uint64))[0] >> np.uint64(64 - bits))
+        yield at, name, "table", zstandard.compress(table.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, serial = TaskContext.get().partitionId(), 0
+        held: list[np.ndarray] = []
+        flat: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal serial, held, flat
+            rows = list(block(f"{part}-{serial}", held, np.concatenate(flat)))
+            serial, held, flat = serial + 1, [], []
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.string(), pa.binary()), strict=True)], ["bucket", "block", "kind", "data"])
+
+        for batch in batches:
+            table = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(3)])
+            values = np.asarray(batch.column(3).flatten()).view(np.uint64)
+            ends = np.concatenate([[0], np.cumsum(table[1])])
+            at = 0
+            while at < table.shape[1]:
+                end = min(at + BLOCK_DOCS // 2, max(at + 1, int(np.searchsorted(ends, ends[at] + OPEN_VALUES, "right")) - 1))
+                held.append(table[:, at:end])
+                flat.append(values[ends[at] : ends[end]].copy())
+                at = end
+                if sum(map(len, flat)) >= OPEN_VALUES or sum(x.shape[1] for x in held) >= BLOCK_DOCS // 2:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return run
+
+
+def _mark_open(rows: pd.DataFrame) -> pd.DataFrame:
+    """For one range: the hashes of several components, by block, with the number of sets that have them."""
+    out = [(r.block, "table", r.data) for r in rows.itertuples() if r.kind == "table"]
+    sent = rows[rows.kind == "hashes"]
+    raw = [zstandard.decompress(x) for x in sent.data]
+    if raw:
+        size = [len(x) // 18 for x in raw]
+        t = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(raw, size, strict=True)])
+        c = np.concatenate([np.frombuffer(x, np.int64, n, 8 * n) for x, n in zip(raw, size, strict=True)])
+        order = np.argsort(t)
+        ranked, c = t[order], c[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        times = np.diff(first, append=len(ranked))
+        several = np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
+        df = np.zeros(len(t), np.uint32)
+        df[order] = np.repeat(np.where(several, times, 0), times)
+        at = 0
+        for name, x, n in zip(sent.block, raw, size, strict=True):
+            some = np.flatnonzero(df[at : at + n])
+            if len(some):
+                who = np.frombuffer(x, np.uint16, n, 16 * n)
+                out.append((name, "core", zstandard.compress(t[at : at + n][some].tobytes() + df[at : at + n][some].tobytes() + who[some].tobytes(), 1)))
+            at += n
+    return pd.DataFrame(out, columns=["block", "kind", "data"])
+
+
+def _gather_open(rows: pd.DataFrame) -> pd.DataFrame:
+    """For one block: the sets whose cores are large enough for a link, with their core's hashes, rarest first."""
+    ids, n, c = np.frombuffer(zstandard.decompress(rows.data[rows.kind == "table"].iloc[0]), np.int64).reshape(3, -1)
+    raw = [zstandard.decompress(x) for x in rows.data[rows.kind == "core"]]
+    size = [len(x) // 14 for x in raw]
+    t = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64, k) for x, k in zip(raw, size, strict=True))])
+    df = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, np.uint32, k, 8 * k) for x, k in zip(raw, size, strict=True))])
+    who = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(x, np.uint16, k, 12 * k) for x, k in zip(raw, size, strict=True))])
+    t = t[np.lexsort((t, df, who))]
+    held = np.bincount(who, minlength=len(ids))
+    ends = np.cumsum(held)
+    kept = np.flatnonzero((held > 0) & (DEN * held >= NUM * n))
+    return pd.DataFrame({"id": ids[kept], "n": n[kept].astype(np.int32), "c": c[kept], "g": [t[ends[i] - held[i] : ends[i]] for i in kept.tolist()]})
+
+
+def _cores(rows: DataFrame) -> DataFrame:
+    """Of open sets (id, n, c, h), those with a core of at least NUM / DEN, and it (g): hashes that several components have, rarest first."""
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    bits = min(max(6, (total // OPEN_VALUES).bit_length()), 14)
+    marked = rows.mapInArrow(tidy(_send_open(bits)), _SENT).groupBy("bucket").applyInPandas(tidy_group(_mark_open), "block string, kind string, data binary")
+    return marked.groupBy("block").applyInPandas(tidy_group(_gather_open), "id bigint, n int, c bigint, g array<bigint>")
+
+
 def _cross_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) that join all components which any links across them would join.
 
@@ -382,10 +478,7 @@ def _cross_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
     one class; pairs are formed of classes only.
     """
     who = saved(lists.select("id", "c").distinct(), "open")
-    tokens = only_ids(sets, who, "id").join(who, "id").select("id", "n", "c", F.explode("h").alias("t"))
-    marks = tokens.groupBy("t").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("df")).where("c1 != c2").select("t", "df")
-    core = tokens.join(marks, "t").groupBy("id", "n", "c").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("g"))
-    core = core.select("id", "n", "c", F.transform("g", lambda x: x["t"]).alias("g")).where(F.lit(DEN) * F.size("g") >= F.lit(NUM) * F.col("n"))
+    core = _cores(sets.join(F.broadcast(who) if who.count() <= BROADCAST_IDS else who, "id").select("id", "n", "c", "h"))
     core = saved(core.select("*", F.xxhash64("g").alias("k1"), F.xxhash64(F.lit(1), "g").alias("k2"), F.size("g").alias("size")), "cores")
     cls = core.groupBy("k1", "k2", "size").agg(F.min(F.struct("n", "id")).alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2"), F.min_by("g", F.struct("n", "id")).alias("g"))
     cls = saved(cls.select("k1", "k2", "size", F.col("m.id").alias("id"), F.col("m.n").alias("n"), "c1", "c2", "g"), "classes")

@@ -55,3 +55,20 @@ def test_repeated_ids_with_unlike_texts(spark):
     rows = [(5, " ".join(one)), (5, " ".join(two)), (5, " ".join(two)), (3, " ".join(two)), (8, " ".join([*one, "z"])), (9, " ".join(["z", *two]))]
     found = jj.join_documents(spark.createDataFrame(rows, "doc_id bigint, text string"))[0]
     assert {(r.doc_id, r.component_id) for r in found.collect()} == {(5, 3), (3, 3), (8, 3), (9, 3)}
+
+
+def test_cores_follow_their_definition(spark, monkeypatch):
+    rnd = random.Random(7)
+    for values in (1 << 20, 50):  # a block for all sets, and many
+        monkeypatch.setattr(jj, "OPEN_VALUES", values)
+        sets = {i: (i % 11, sorted(rnd.sample(range(-(2**63), 2**63, 2**63 // 200), 30) if i % 3 else rnd.sample(range(300), rnd.randint(1, 40)))) for i in range(90)}
+        where: dict[int, list[int]] = {}
+        for c, h in sets.values():
+            for t in h:
+                where.setdefault(t, []).append(c)
+        core = {i: sorted((len(where[t]), t) for t in h if len(set(where[t])) > 1) for i, (c, h) in sets.items()}
+        expected = {(i, len(sets[i][1]), sets[i][0], tuple(t for _, t in g)) for i, g in core.items() if g and 100 * len(g) >= 75 * len(sets[i][1])}
+        rows = [(i, len(h), c, h) for i, (c, h) in sets.items()]
+        found = jj._cores(spark.createDataFrame(rows, "id bigint, n int, c bigint, h array<bigint>"))
+        assert {(r.id, r.n, r.c, tuple(r.g)) for r in found.collect()} == expected != set()
+    assert jj._cores(spark.createDataFrame([], "id bigint, n int, c bigint, h array<bigint>")).count() == 0
